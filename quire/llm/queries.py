@@ -6,13 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import language, near_dedup, quality
+from quire.llm import html_extract, language, near_dedup, nearest, order_minhash, packing, quality, tokens
+from quire.llm.shared import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def op1_ann_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, _table(spark, sf_dir, "labels"))
@@ -23,6 +39,24 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), k=4)
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op5_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer())
+
+
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_likeness(_table(spark, sf_dir, "documents"), 4 * _partitions(spark))
+
+
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark, 'tokens').base}/ids"
+    tokens.write_tokens(_table(spark, sf_dir, "documents"), path, _tokenizer(), end_id=2, files=_partitions(spark))
+    return tokens.token_spans(spark, path)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit_languages(docs))
@@ -30,7 +64,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_quality_classifier, op3_minhash_near_dedup, op10_language_id]
+    found = [op1_ann_collision_counting, op2_quality_classifier, op3_minhash_near_dedup, op4_html_extract, op5_cost_packing, op6_order_minhash, op7_token_ids, op10_language_id]
     return {f.__name__: f for f in found}
 
 
