@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import html_extract, language, near_dedup, nearest, order_minhash, packing, quality, tokens
+from quire.llm import html_extract, language, mixing, near_dedup, nearest, order_minhash, packing, quality, tokens
 from quire.llm.shared import Scratch
 
 
@@ -57,6 +57,11 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_spans(spark, path)
 
 
+def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_place")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit_languages(docs))
@@ -64,7 +69,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ann_collision_counting, op2_quality_classifier, op3_minhash_near_dedup, op4_html_extract, op5_cost_packing, op6_order_minhash, op7_token_ids, op10_language_id]
+    found = [op1_ann_collision_counting, op2_quality_classifier, op3_minhash_near_dedup, op4_html_extract, op5_cost_packing, op6_order_minhash, op7_token_ids, op9_pfair_mixing, op10_language_id]
     return {f.__name__: f for f in found}
 
 
