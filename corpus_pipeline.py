@@ -1,8 +1,64 @@
-"""Corpus pipeline."""
+"""From raw documents to packed training sequences: quality, line dedup, near dedup, mixing, packing.
 
-STAGES = []
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read again
+as the next stage's documents; all but the last return the columns of ``documents``. Each stage judges what
+its predecessor kept. ``run`` does that in the cluster's shared folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm import line_dedup, mixing, near_dedup, packing, quality
+from quire.llm.queries import tokenizer_path
+from quire.llm.shared import Scratch
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.3 or more; the model learns from ``labels`` on these documents."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_quality(docs, quality.fit_quality(docs, labels))
+
+
+def fuzzy_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that stand elsewhere before; documents of which nothing is left go."""
+    lined = line_dedup.dedup_lines(docs).where("lines_kept > 0 OR lines = 0")
+    columns = [F.char_length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return lined.select(*columns)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: five words to a shingle, similarity 0.8 or more. Rows without an id stay."""
+    gone = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id", "text"])
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in an order in which every source keeps to the same share for as long as it lasts."""
+    return mixing.mix(docs).orderBy("mix_slot", "mix_place").select(docs.columns)
+
+
+def cost_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the token sequences, packed among neighbours in the mixture."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", fuzzy_line_dedup),
+    ("minhash near dedup", minhash_near_dedup),
+    ("source mixing", source_mixing),
+    ("packing", cost_packing),
+]
+
+#: SQL can express neither the trained classifier nor MinHash and tokenization.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for ``documents`` under ``sf_dir``."""
+    scratch, docs = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)

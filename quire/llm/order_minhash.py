@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.llm.shared import let
+
 SLOTS, PLACE = 64, 28  # PLACE: bits for a k-mer's place in the text
 _KEY = (1 << 35) - 1
 
@@ -30,7 +32,6 @@ def fingerprint(text: Column) -> Column:
     key = lambda x: F.shiftright(x, PLACE)
     place = lambda x: x.bitwiseAND(F.lit((1 << PLACE) - 1))
     slot = lambda x: F.shiftright(x, PLACE + 29).cast("int")  # noqa: E731  the key's 6 highest bits
-    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
     join = lambda hashed, at: F.shiftleft(hashed.bitwiseAND(F.lit(_KEY)), PLACE).bitwiseOR(at)
 
     def pairs(w: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import html_extract, language, mixing, near_dedup, nearest, order_minhash, packing, quality, tokens
+from quire.llm import html_extract, language, line_dedup, mixing, near_dedup, nearest, order_minhash, packing, quality, tokens
 from quire.llm.shared import Scratch
 
 
@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -44,7 +44,7 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer())
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,10 +53,14 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Scratch(spark, 'tokens').base}/ids"
-    tokens.write_tokens(_table(spark, sf_dir, "documents"), path, _tokenizer(), end_id=2, files=_partitions(spark))
+    tokens.write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2, files=_partitions(spark))
     return tokens.token_spans(spark, path)
 
 
+def op8_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "lines", "lines_kept")
+
+
 def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_place")
@@ -69,7 +73,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ann_collision_counting, op2_quality_classifier, op3_minhash_near_dedup, op4_html_extract, op5_cost_packing, op6_order_minhash, op7_token_ids, op9_pfair_mixing, op10_language_id]
+    found = [op1_ann_collision_counting, op2_quality_classifier, op3_minhash_near_dedup, op4_html_extract, op5_cost_packing, op6_order_minhash, op7_token_ids, op8_fuzzy_line_dedup, op9_pfair_mixing, op10_language_id]
     return {f.__name__: f for f in found}
 
 

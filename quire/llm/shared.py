@@ -7,10 +7,13 @@ session is local, a temporary folder is used; on a cluster an unset folder is an
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local: list[str] = []
@@ -28,6 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[0]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, bound as a lambda variable so that it is computed once for each row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 class Scratch:
     """A folder of its own below the shared folder for one operator call."""
 
@@ -36,8 +44,13 @@ class Scratch:
         self.base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, table: str, **options) -> DataFrame:
-        """Write ``df`` as Parquet and return it as read back; its lineage starts at these files."""
+        """Write ``df`` as Parquet and return it as read back; its lineage starts at these files.
+
+        The driver's collector runs then, so that Spark's cleaner frees the shuffle files that led here.
+        """
         df.write.options(**{"compression": "zstd", **options}).parquet(f"{self.base}/{table}")
+        gc.collect()
+        self.spark._jvm.System.gc()
         return self.read(table, df.schema)
 
     def read(self, table: str, schema) -> DataFrame:
@@ -48,6 +61,27 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slots_of(ids: DataFrame, log2: int = 26) -> bytearray:
+    """A bitmap of 2**``log2`` bits with the hashed slot of every id in ``ids(id)`` set: 8 MB, however many ids.
+
+    A row whose slot is not set is not among the ids, so it can be left out before a shuffle; a row whose slot
+    is set still has to be joined. Test it with ``in_slots`` in a task.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(1 << log2))
+    words = ids.select(F.shiftright(slot, 5).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {1 << log2}) AS int) & 31)").alias("bit"))
+    out = np.zeros(1 << (log2 - 5), "<u4")
+    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():  # 2**21 rows at most
+        out[r["word"]] = r["bits"]
+    return bytearray(out.tobytes())
+
+
+def in_slots(slots: bytearray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the signed 64-bit ``hashes`` (Spark's xxhash64 of the ids) have their slot set."""
+    bits = np.frombuffer(slots, np.uint8)
+    slot = hashes & (len(bits) * 8 - 1)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
 def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:
     """Distributed union-find: ``edges(a, b)`` to ``(node, component)``, component the smallest node reachable.
 
