@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.shared import Scratch, components
+from quire.llm.shared import Scratch, components, in_slots, slices, slots_of
 
 MINIMA, BITS, BANDS, ROWS = 256, 4, 24, 4
 LEFT, RIGHT = 512, 1024
@@ -85,7 +85,7 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def _signatures(text_col: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = {"doc_id": batch.column(0), "n": [], "key": [], "bands": [], "sig": []}
             for text in batch.column(text_col).to_pylist():
                 s = word_shingles(text, k)
@@ -107,9 +107,10 @@ def _signatures(text_col: int, k: int):
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, slots):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
+            batch = batch.filter(pa.array(in_slots(slots.value, batch.column(2).to_numpy())))
             sets = [word_shingles(t, k).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
@@ -129,10 +130,10 @@ def _close(threshold: float):
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                keep.append(alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                keep.append(alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     return run
@@ -144,12 +145,10 @@ def _across(cut: float, percent: int):
     A pair whose ends a link has joined meanwhile is skipped, so the links of a block form a forest.
     """
 
-    def run(pdf):
-        import pandas as pd
-
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
-        ids, comp, side = pdf["id"].to_numpy(), pdf["comp"].to_numpy().copy(), pdf["side"].to_numpy()
+    def run(table: pa.Table) -> pa.Table:
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in table["shingles"].chunks for x in chunk]
+        ids, comp, side = table["id"].to_numpy(), table["comp"].to_numpy().copy(), table["side"].to_numpy()
         right, links = np.flatnonzero(side == 1), []
         for i in np.flatnonzero(side == 0):
             r = right[comp[right] != comp[i]]
@@ -159,7 +158,8 @@ def _across(cut: float, percent: int):
                 if comp[i] != comp[j] and alike(sets[i], sets[j], percent):
                     comp[comp == comp[j]] = comp[i]
                     links.append((ids[i], ids[j]))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -187,9 +187,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     met = slim.withColumn("size", F.count("*").over(w)).where("size > 1")
     met = scratch.write(met.withColumn("first", F.min("id").over(w)).withColumn("before", F.lag("id").over(w.orderBy("id"))), "met")
     heads = scratch.write(heads.join(met.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "key", "sig"), "heads")
-    wanted = base.join(heads.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    slots = spark.sparkContext.broadcast(slots_of(heads.select("id")))
+    wanted = base.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).mapInArrow(_sets(k, slots), "doc_id long, shingles binary")
     # a repeated id may come with several texts: each set stays apart, under one id
-    sets = scratch.write(wanted.mapInArrow(_sets(k), "doc_id long, shingles binary").where("octet_length(shingles) > 0"), "sets")
+    wanted = wanted.where("octet_length(shingles) > 0").join(heads.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = scratch.write(wanted, "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
@@ -219,7 +221,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     cols = ["id", "comp", "cluster", "block", "piece"]
     sided = left.select(*cols, F.lit(0).alias("side")).union(right.select(*cols, F.lit(1).alias("side")))
     sided = sided.join(heads.select("id", "sig"), "id").join(sets.select(F.col("doc_id").alias("id"), "shingles"), "id")
-    more = sided.groupBy("cluster", "block", "piece").applyInPandas(_across(cut, percent), "a long, b long")
+    more = sided.groupBy("cluster", "block", "piece").applyInArrow(_across(cut, percent), "a long, b long")
     links = scratch.write(links.union(more), "links-2")
     comp = components(scratch, links, "cc2")
     out = of.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")

@@ -10,9 +10,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,8 +62,15 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slots_of(ids: DataFrame, log2: int = 26) -> bytearray:
-    """A bitmap of 2**``log2`` bits with the hashed slot of every id in ``ids(id)`` set: 8 MB, however many ids.
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows``, so that a task holds few texts as Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def slots_of(ids: DataFrame, log2: int = 24) -> bytearray:
+    """A bitmap of 2**``log2`` bits with the hashed slot of every id in ``ids(id)`` set: 2 MB, however many ids.
 
     A row whose slot is not set is not among the ids, so it can be left out before a shuffle; a row whose slot
     is set still has to be joined. Test it with ``in_slots`` in a task.
@@ -70,7 +78,7 @@ def slots_of(ids: DataFrame, log2: int = 26) -> bytearray:
     slot = F.pmod(F.xxhash64("id"), F.lit(1 << log2))
     words = ids.select(F.shiftright(slot, 5).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {1 << log2}) AS int) & 31)").alias("bit"))
     out = np.zeros(1 << (log2 - 5), "<u4")
-    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():  # 2**21 rows at most
+    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():  # 2**19 rows at most
         out[r["word"]] = r["bits"]
     return bytearray(out.tobytes())
 
