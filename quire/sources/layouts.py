@@ -55,8 +55,8 @@ def rasters(embeddings: DataFrame, side: int = 8) -> DataFrame:
 
 def pixels(raster: DataFrame) -> DataFrame:
     """A row a pixel, coloured by fixed arithmetic on the grey value."""
-    p = raster.select("capture_id", "width", "height", F.posexplode("grey").alias("at", "r"))
-    return p.select("capture_id", (F.col("at") % F.col("width")).cast("long").alias("px"), F.floor(F.col("at") / F.col("width")).cast("long").alias("py"), F.col("r").cast("long"), ((F.col("r") * 3) % 256).cast("long").alias("g"), ((F.col("r") * 7) % 256).cast("long").alias("b"))
+    p = raster.select("capture_id", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), F.posexplode("grey").alias("at", "r"))
+    return p.select("capture_id", "width", "height", (F.col("at") % F.col("width")).cast("long").alias("px"), F.floor(F.col("at") / F.col("width")).cast("long").alias("py"), F.col("r").cast("long"), ((F.col("r") * 3) % 256).cast("long").alias("g"), ((F.col("r") * 7) % 256).cast("long").alias("b"))
 
 
 def overlay_events(events: DataFrame) -> DataFrame:
@@ -77,8 +77,8 @@ SQL = {
         SELECT doc_id AS capture_id, line_no AS block_id, line AS text, CASE WHEN doc_id%2=1 AND line_no>0 AND line_no%2=0 THEN 550 ELSE 50 END::BIGINT AS xi,
         (940-23*CASE WHEN doc_id%2=1 THEN (line_no+1)//2 ELSE line_no END)::BIGINT AS yi, CASE WHEN line_no=0 THEN 900 ELSE least(400, 20+2*length(line)) END::BIGINT AS wi, 15::BIGINT AS hi
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT-1 AS line_no FROM documents) WHERE line_no<40 AND length(line)>0))""",
-    "pix": """pix AS (SELECT capture_id, at%8 AS px, at//8 AS py, r, (r*3)%256 AS g, (r*7)%256 AS b FROM (
-        SELECT vec_id AS capture_id, generate_subscripts(embedding, 1)::BIGINT-1 AS at, floor((unnest(embedding)::DOUBLE+1)*127.5)::BIGINT AS r FROM embeddings WHERE len(embedding)=64))""",
+    "pix": """pix AS (SELECT capture_id, ix%8 AS px, ix//8 AS py, r, (r*3)%256 AS g, (r*7)%256 AS b FROM (
+        SELECT vec_id AS capture_id, generate_subscripts(embedding, 1)::BIGINT-1 AS ix, floor((unnest(embedding)::DOUBLE+1)*127.5)::BIGINT AS r FROM embeddings WHERE len(embedding)=64))""",
 }
 
 
