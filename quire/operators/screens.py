@@ -71,10 +71,10 @@ def figure_labels(df: DataFrame, key: str, order: str) -> DataFrame:
 def status_text(state: Column, width: Column, height: Column, words: Column, figures: Column, message: Column) -> Column:
     """What the status line says in each state of a capture."""
     return (
-        F.when(state == "idle", F.lit("Ready"))
+        F.when(state == "idle", F.lit("No capture"))
         .when(state == "capturing", F.lit("Capturing..."))
-        .when(state == "captured", F.format_string("Captured %d x %d", width, height))
+        .when(state == "captured", F.format_string("Captured %d×%d", width, height))
         .when(state == "analyzing", F.lit("Analyzing..."))
-        .when(state == "analyzed", F.format_string("%d words, %d figures", words, figures))
+        .when(state == "analyzed", F.format_string("Analyzed · %d words · %d figures", words, figures))
         .when(state == "error", F.concat(F.lit("Error: "), F.coalesce(message, F.lit(""))))
     )

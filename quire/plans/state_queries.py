@@ -1 +1,149 @@
-"""Queries."""
+"""Queries of editable overlays and of the states of captures."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quire.operators import overlays as O
+from quire.plans.geometry_queries import blocks, figures
+from quire.plans.registry import query
+from quire.sources import layouts as L
+from quire.sources.layouts import with_sql
+from quire.streaming import folds
+
+
+def events(spark, d):
+    e = L.overlay_events(L.table(spark, d, "events"))
+    dx = F.round((F.floor("value") % 10) / 100.0, 6)
+    return e.select("capture_id", "overlay_id", "seq", "op", "ts", dx.alias("dx"), F.round(-dx / 2, 6).alias("dy"))
+
+
+EV = "ev AS (SELECT user_id AS capture_id, event_id%5 AS overlay_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'select' WHEN 'purchase' THEN 'toggle' WHEN 'signup' THEN 'add' WHEN 'error' THEN 'delete' ELSE 'move' END AS op, ts FROM events)"
+
+
+def simple(spark, d):
+    """Five overlays a page: figures at even places, texts of two blocks at odd ones."""
+    c = L.table(spark, d, "events").select(F.col("user_id").cast("long").alias("capture_id")).distinct()
+    o = c.select("capture_id", F.explode(F.expr("sequence(0L, 4L)")).alias("overlay_id"))
+    i = F.col("overlay_id")
+    text = i % 2 == 1
+    return o.select(
+        "capture_id", "overlay_id", F.when(text, "text").otherwise("figure").alias("kind"), (i * 0.1 + 0.05).alias("x"), (i * 0.15).alias("y"), F.lit(0.3).alias("w"), F.lit(0.2).alias("h"), ((F.col("capture_id") + i) % 3 == 0).alias("is_excluded"),
+        F.when(~text, (i / 2).cast("int")).alias("source_figure_index"), F.when(text, F.array(i, i + 1)).otherwise(F.array().cast("array<bigint>")).alias("source_text_block_ids"), F.when(text, i - 1).alias("associated_figure_overlay_id"),
+    )
+
+
+SIMPLE = "si AS (SELECT capture_id, i AS overlay_id, CASE WHEN i%2=1 THEN 'text' ELSE 'figure' END AS kind, i*0.1+0.05::DOUBLE AS x, i*0.15::DOUBLE AS y, 0.3::DOUBLE AS w, 0.2::DOUBLE AS h, (capture_id+i)%3=0 AS is_excluded, CASE WHEN i%2=0 THEN i//2 END AS fi FROM (SELECT DISTINCT user_id AS capture_id FROM events), (SELECT unnest(range(5)) AS i))"
+BLK = "bk AS (SELECT capture_id, b AS block_id, (b*0.1)::DOUBLE AS x, (0.7-b*0.15)::DOUBLE AS y, 0.2::DOUBLE AS w, 0.1::DOUBLE AS h, 'b'||b AS text FROM (SELECT DISTINCT user_id AS capture_id FROM events), (SELECT unnest(range(6)) AS b))"
+
+
+def page_blocks(spark, d):
+    c = L.table(spark, d, "events").select(F.col("user_id").cast("long").alias("capture_id")).distinct()
+    b = c.select("capture_id", F.explode(F.expr("sequence(0L, 5L)")).alias("block_id"))
+    return b.select("capture_id", "block_id", (F.col("block_id") * 0.1).alias("x"), (0.7 - F.col("block_id") * 0.15).alias("y"), F.lit(0.2).alias("w"), F.lit(0.1).alias("h"), F.concat(F.lit("b"), F.col("block_id").cast("string")).alias("text"))
+
+
+@query("o1_build_overlays")
+def build(spark, d):
+    b = blocks(spark, d).withColumn("text", F.concat(F.lit("b"), F.col("block_id").cast("string")))
+    f = figures(spark, d).withColumn("fig_idx", F.lit(0).cast("long"))
+    over = b.where("block_id % 3 = 0").select("capture_id", "block_id", F.lit(0).cast("long").alias("fig_idx"), F.when(F.col("class_id") == 1, "overlay").otherwise("edgeOverlay").alias("class"))
+    return O.build(b, f, over)
+
+
+@query("o2_selected_overlay", f"WITH {EV} SELECT capture_id, overlay_id FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY seq DESC) AS rn FROM ev WHERE op IN ('select','add','delete')) WHERE rn=1 AND op<>'delete'")
+def selected(spark, d):
+    return O.selected(events(spark, d))
+
+
+@query("o3_moved_overlays")
+def moved(spark, d):
+    return O.moved(simple(spark, d), events(spark, d)).select("capture_id", "overlay_id", "x", "y", "w", "h")
+
+
+@query("o4_reassociate_texts", f"WITH {SIMPLE}, {BLK}, pr AS (SELECT si.capture_id, overlay_id, block_id, greatest(0,least(si.x+si.w,bk.x+bk.w)-greatest(si.x,bk.x))*greatest(0,least(si.y+si.h,1-bk.y)-greatest(si.y,1-bk.y-bk.h))/(bk.w*bk.h) AS s FROM si JOIN bk USING (capture_id) WHERE kind='text') SELECT capture_id, overlay_id, array_to_string(coalesce(list(block_id ORDER BY block_id) FILTER (round(s,9)>=0.5), []), ',') AS block_ids FROM pr GROUP BY 1,2")
+def reassociate(spark, d):
+    return O.reassociated(simple(spark, d), page_blocks(spark, d)).withColumn("block_ids", F.array_join("block_ids", ","))
+
+
+@query("o5_remaining_overlays", f"WITH {EV}, {SIMPLE}, dl AS (SELECT capture_id, op, lag(op) OVER w AS before, lag(overlay_id) OVER w AS target FROM ev WHERE op IN ('select','add','delete') WINDOW w AS (PARTITION BY capture_id ORDER BY seq)) SELECT capture_id, overlay_id FROM si WHERE NOT EXISTS (SELECT 1 FROM dl WHERE dl.capture_id=si.capture_id AND dl.target=si.overlay_id AND op='delete' AND before<>'delete')")
+def remaining(spark, d):
+    return O.remaining(simple(spark, d), events(spark, d)).select("capture_id", "overlay_id")
+
+
+@query("o6_toggled_exclusion", f"WITH {EV} SELECT capture_id, overlay_id, count(*)%2=1 AS is_excluded FROM ev WHERE op='toggle' GROUP BY 1,2")
+def toggled(spark, d):
+    return O.toggled(events(spark, d))
+
+
+IDS = "(SELECT capture_id, is_excluded, overlay_id AS block_id FROM si WHERE kind='text' UNION SELECT capture_id, is_excluded, overlay_id+1 FROM si WHERE kind='text')"
+
+
+@query("o7_text_ids", f"WITH {SIMPLE} SELECT capture_id, block_id, CASE WHEN is_excluded THEN 'excluded' ELSE 'included' END AS state FROM {IDS}")
+def text_ids(spark, d):
+    s = simple(spark, d)
+    named = lambda e, n: O.text_ids(s, e).withColumn("state", F.lit(n))
+    return named(True, "excluded").unionByName(named(False, "included"))
+
+
+@query("o7_excluded_figures", f"WITH {SIMPLE} SELECT DISTINCT capture_id, fi::INT AS fig_idx FROM si WHERE kind='figure' AND is_excluded")
+def excluded_figures(spark, d):
+    return O.excluded_figures(simple(spark, d))
+
+
+@query("o8_synced_figures", f"WITH {SIMPLE} SELECT capture_id, fi::INT AS fig_idx, NOT is_excluded AS is_selected FROM si WHERE kind='figure'")
+def synced(spark, d):
+    s = simple(spark, d)
+    figs = s.where("kind = 'figure'").select("capture_id", F.col("source_figure_index").alias("fig_idx"))
+    return O.synced_figures(figs, s)
+
+
+@query("o9_added_labels", f"WITH {EV} SELECT capture_id, seq, 'Figure '||(3+row_number() OVER (PARTITION BY capture_id ORDER BY seq)) AS label FROM ev WHERE op='add'")
+def added_labels(spark, d):
+    return O.added_labels(simple(spark, d), events(spark, d))
+
+
+@query("o10_figure_crops", f"WITH {SIMPLE} SELECT capture_id, overlay_id, round(x*800,6) AS x, round(y*600,6) AS y, round(least(x*800+w*800,800)-x*800,6) AS w, round(least(y*600+h*600,600)-y*600,6) AS h FROM si WHERE kind='figure' AND x<1 AND y<1")
+def figure_crops(spark, d):
+    return O.drawn_crop(simple(spark, d), 800, 600)
+
+
+@query("o11_filtered_text", f"WITH {SIMPLE}, {BLK}, i AS (SELECT DISTINCT capture_id, block_id FROM {IDS} WHERE NOT is_excluded) SELECT capture_id, string_agg(text, chr(10) ORDER BY block_id) AS full_text, count(*) AS blocks FROM bk JOIN i USING (capture_id, block_id) GROUP BY 1")
+def filtered_text(spark, d):
+    return O.filtered_text(page_blocks(spark, d), simple(spark, d))
+
+
+@query("o12_rebuild_plan", f"WITH {SIMPLE}, {BLK}, i AS (SELECT capture_id, overlay_id-1 AS figure_overlay_id, overlay_id AS block_id FROM si WHERE kind='text' AND is_excluded UNION SELECT capture_id, overlay_id-1, overlay_id+1 FROM si WHERE kind='text' AND is_excluded) SELECT capture_id, figure_overlay_id, count(*) AS blocks, string_agg(block_id, ',' ORDER BY block_id) AS block_ids, round(min(x),6) AS x, round(min(y),6) AS y FROM i JOIN bk USING (capture_id, block_id) GROUP BY 1,2")
+def rebuild_plan(spark, d):
+    return O.rebuild_plan(simple(spark, d), page_blocks(spark, d)).withColumn("block_ids", F.array_join("block_ids", ","))
+
+
+@query("o13_toggled_figure", f"WITH {EV}, {SIMPLE} SELECT si.capture_id, fi::INT AS fig_idx, (is_excluded<>(count(ev.seq)%2=1)) AS is_excluded FROM si LEFT JOIN ev ON ev.capture_id=si.capture_id AND ev.overlay_id=si.overlay_id AND op='toggle' WHERE kind='figure' GROUP BY si.capture_id, fi, is_excluded, si.overlay_id")
+def toggled_figure(spark, d):
+    s = simple(spark, d).where("kind = 'figure'")
+    t = O.toggled(events(spark, d)).withColumnRenamed("is_excluded", "flip")
+    out = s.join(t, ["capture_id", "overlay_id"], "left")
+    return out.select("capture_id", F.col("source_figure_index").alias("fig_idx"), (F.col("is_excluded") != F.coalesce("flip", F.lit(False))).alias("is_excluded"))
+
+
+@query("k1_export_markdown", with_sql("db", ", t AS (SELECT capture_id, string_agg(text, chr(10) ORDER BY block_id) AS body FROM db GROUP BY 1) SELECT capture_id, 'capture-'||capture_id||'.md' AS path, '# Capture '||capture_id||chr(10)||chr(10)||body||chr(10) AS content FROM t"))
+def export_markdown(spark, d):
+    from quire.operators.reading import joined_text
+    from quire.sources.files import markdown
+
+    return markdown(joined_text(L.document_blocks(L.table(spark, d, "documents")), ["capture_id"], "block_id"))
+
+
+@query("k2_copy_text", f"WITH {SIMPLE}, {BLK}, i AS (SELECT DISTINCT capture_id, block_id FROM {IDS} WHERE NOT is_excluded) SELECT capture_id, string_agg(text, chr(10) ORDER BY block_id) AS full_text, count(*) AS blocks FROM bk JOIN i USING (capture_id, block_id) GROUP BY 1")
+def copy_text(spark, d):
+    return O.filtered_text(page_blocks(spark, d), simple(spark, d))
+
+
+@query("st1_capture_state", f"WITH {EV} SELECT capture_id, CASE op WHEN 'select' THEN 'capturing' WHEN 'add' THEN 'captured' WHEN 'move' THEN 'analyzing' WHEN 'toggle' THEN 'analyzed' ELSE 'error' END AS state, seq FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY seq DESC) AS rn FROM ev) WHERE rn=1")
+def capture_state(spark, d):
+    return folds.capture_states(events(spark, d))
+
+
+@query("st2_overlay_state", f"WITH {EV} SELECT capture_id, overlay_id, sum((op='toggle')::INT)%2=1 AS is_excluded, count(*) AS edits, max(seq) AS last_seq FROM ev GROUP BY 1,2")
+def overlay_state(spark, d):
+    return folds.overlay_states(events(spark, d))
