@@ -31,7 +31,17 @@ def both(spark: SparkSession, d: str) -> DataFrame:
     return relations.pairs(figures(spark, d), blocks(spark, d), [], ["block_id"])
 
 
-A, B = g.rect("a"), g.rect("b")
+class _Box:
+    """A rectangle of prefixed columns whose columns are made when they are used: modules load without a session."""
+
+    def __init__(self, prefix: str):
+        self._prefix = prefix
+
+    def __getattr__(self, name: str):
+        return getattr(g.rect(self._prefix), name)
+
+
+A, B = _Box("a"), _Box("b")
 BOTH = "SELECT capture_id, block_id, f.x AS ax, f.y AS ay, f.w AS aw, f.h AS ah, t.x AS bx, t.y AS by_, t.w AS bw, t.h AS bh FROM fig f JOIN tb t USING (capture_id)"
 #: Overlaps of figure (a) and text (b) on both axes.
 OX, OY = "(least(ax+aw,bx+bw)-greatest(ax,bx))", "(least(ay+ah,by_+bh)-greatest(ay,by_))"
