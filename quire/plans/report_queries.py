@@ -127,3 +127,15 @@ def status_text(spark, d):
     state = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[F.col("event_type")]
     n = F.col("event_id")
     return L.table(spark, d, "events").select("event_id", screens.status_text(state, F.col("user_id"), n, F.col("user_id"), n, n.cast("string")).alias("status"))
+
+
+@query("k3_dashboard_json", LOG + """SELECT run_id, '{"fail":'||sum((status='FAIL')::INT)||',"pass":'||sum((status='PASS')::INT)||',"run_id":'||run_id||',"skip":0,"total":'||count(*)||'}' AS value FROM tests GROUP BY run_id""")
+def dashboard_json(spark, d):
+    s = reports.summary(tests(spark, d))
+    return s.select("run_id", F.to_json(F.struct(*sorted(s.columns))).alias("value"))
+
+
+@query("k4_appended_history", f"SELECT series, run_no, percent FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY run_no DESC) AS back FROM (SELECT * FROM {RUNS} WHERE run_no<=1000 UNION ALL SELECT * FROM {RUNS} WHERE run_no>1000)) WHERE back<=50")
+def appended_history(spark, d):
+    old, new = runs(spark, d).where("run_no <= 1000"), runs(spark, d).where("run_no > 1000")
+    return reports.history(old.unionByName(new)).drop("back")

@@ -147,3 +147,21 @@ def capture_state(spark, d):
 @query("st2_overlay_state", f"WITH {EV} SELECT capture_id, overlay_id, sum((op='toggle')::INT)%2=1 AS is_excluded, count(*) AS edits, max(seq) AS last_seq FROM ev GROUP BY 1,2")
 def overlay_state(spark, d):
     return folds.overlay_states(events(spark, d))
+
+
+@query("st3_changed_reports", "SELECT DISTINCT user_id AS report, event_id//50 AS stamp FROM events")
+def changed_reports(spark, d):
+    polls = L.table(spark, d, "events").select(F.col("user_id").alias("report"), F.floor(F.col("event_id") / 50).alias("stamp"), "ts")
+    return folds.changed_reports(polls).select("report", "stamp")
+
+
+@query("st4_scroll_progress", "SELECT user_id AS capture_id, max(event_id)::BIGINT AS frames, max(total)::BIGINT AS total, CASE WHEN max(total)>0 THEN max(event_id)/max(total)::DOUBLE END AS ratio FROM (SELECT *, CASE WHEN user_id%3=0 THEN NULL WHEN user_id%3=1 THEN 0 ELSE 100000 END AS total FROM events) GROUP BY 1")
+def scroll_progress(spark, d):
+    u = F.col("user_id")
+    total = F.when(u % 3 == 1, 0).when(u % 3 == 2, 100000).cast("long")
+    return folds.progress(L.table(spark, d, "events").select(u.alias("capture_id"), F.col("event_id").alias("frame"), total.alias("estimated_total")))
+
+
+@query("st5_edits_by_hour", f"WITH {EV} SELECT date_trunc('hour', ts) AS from_ts, op, count(*) AS edits FROM ev GROUP BY 1,2")
+def edits_by_hour(spark, d):
+    return folds.edits_by_window(events(spark, d)).select(F.col("from_ts").cast("timestamp_ntz").alias("from_ts"), "op", "edits")
