@@ -29,7 +29,7 @@ def ngram_counts(text: str | None) -> np.ndarray:
     text, counts = text or "", np.zeros(1 << BUCKETS_LOG2, np.int64)
     for at in range(0, len(text), PIECE):
         c = np.frombuffer(f" {text[at : at + PIECE].lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-        c = np.where(((c >= 97) & (c <= 122)) | (c >= 192), c, np.uint32(32))
+        c = np.where(((c >= 97) & (c <= 122)) | (c >= 192) | (c == 170) | (c == 181) | (c == 186), c, np.uint32(32))
         gap = c == 32
         pair = c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA77)
         two = pair[~(gap[:-1] & gap[1:])]

@@ -86,10 +86,11 @@ def test_language_mixture_and_odd_input(spark):
     one, two = "der die und das nicht mit von ein " * 20, "the and of to with that was for " * 20
     d = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate([(one, "de"), (two, "en")] * 6)], "doc_id long, text string, lang string")
     m = language.fit_languages(d)
-    odd = spark.createDataFrame([(1, one + two), (2, None), (3, ""), (4, "123 !!"), (5, one * 300), (None, two)], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, one + two), (2, None), (3, ""), (4, "123 !!"), (5, one * 300), (6, "µ"), (None, two)], "doc_id long, text string")
     got = {r.doc_id: r for r in language.identify(odd, m).collect()}
     assert set(got[1].langs) == {"de", "en"}
     assert [got[i].lang_pred for i in (2, 3, 4, 5, None)] == ["und", "und", "und", "de", "en"]
+    assert got[6].lang_pred in ("de", "en")
     assert language.identify(odd, language.fit_languages(d.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
