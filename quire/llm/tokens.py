@@ -1,8 +1,9 @@
 """Token ids of whole texts, and their binary form (operator 7).
 
-``encode`` runs the tokenizers library in the tasks. White space of exactly one space between two other
-characters is always a token boundary of a byte-level vocabulary with the space at the front of a word, so a
-text is encoded as its space-separated pieces; a bounded memory of pieces spares encoding them again.
+``encode`` runs the tokenizers library in the tasks. A byte-level vocabulary of this kind always cuts at a
+single space (which goes to the front of the next word), around a single line break, and between letters
+and marks behind them, so a text is encoded as such pieces; a bounded memory of pieces spares encoding
+them again.
 
 ``write_tokens`` stores one row per document in ascending id order as Parquet: ids as a list column with
 dictionary encoding, counts and document ids with delta encoding, row groups of a set size and page
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-REMEMBERED, PIECE = 700_000, 40
-_EDGES = re.compile(r"\s\s|\A\s|\s\Z")
+REMEMBERED, PIECE = 500_000, 40
+_PUNCTUATED = re.compile(r"([^\W\d_]+)([.,;:!?%$#*&]+)")
 
 
 class Encoder:
@@ -39,50 +40,67 @@ class Encoder:
         self.opens = np.zeros(max(vocab.values()) + 1, bool)  # tokens that begin with a space
         for token, i in vocab.items():
             self.opens[i] = token.startswith("Ġ")
-        self.known: dict[str, bytes] = {}
+        self.line = vocab["Ċ"]
+        self.known: dict[str, bytes] = {}  # of pieces behind a space
+        self.bare: dict[str, bytes] = {}  # of pieces at the start of a line
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 1000):
-            part = pieces[at : at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.append(np.flatnonzero(self.opens[ids]) * 4, len(ids) * 4).tolist()
-            raw = ids.tobytes()
+    def _learn(self, pieces: set[str], known: dict[str, bytes], lead: str) -> None:
+        """Put the ids of ``lead`` + piece into ``known`` for all pieces, none of which holds ``lead``."""
+        whole = list(pieces - known.keys())
+        for at in range(0, len(whole), 1000):
+            part = whole[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([lead + lead.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            begin = np.flatnonzero(self.opens[ids]) if lead == " " else np.flatnonzero(ids == self.line) + 1
+            cut = np.append(begin * 4, (len(ids) + (lead != " ")) * 4).tolist()
+            raw, skip = ids.tobytes(), 4 * (lead != " ")
             if len(cut) == len(part) + 1:
-                self.known.update(zip(part, [raw[a:b] for a, b in zip(cut, cut[1:])], strict=True))
+                known.update(zip(part, [raw[a : b - skip] for a, b in zip(cut, cut[1:])], strict=True))
             else:  # never with a vocabulary of the kind described above
-                self.known.update(zip(part, self._plain([" " + p for p in part]), strict=True))
+                known.update(zip(part, self._plain([(" " if lead == " " else "") + p for p in part]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        whole = [i for i, t in enumerate(texts) if t and _EDGES.search(t)]
         out: list[bytes] = [b""] * len(texts)
-        split = {i: t.split(" ") for i, t in enumerate(texts) if t and not _EDGES.search(t)}
-        for i in whole:  # runs of white space: cut where a single space stands between other characters
-            out[i] = b"".join(self._runs(texts[i]))
-        new: set[str] = set()
-        for p in split.values():
-            new.update(p[1:])
-        self._learn(list(new - self.known.keys()))
-        known = self.known.__getitem__
-        for (i, p), first in zip(split.items(), self._plain([p[0] for p in split.values()]), strict=True):
-            out[i] = first + b"".join(map(known, p[1:]))
-        for piece in [x for x in new if len(x) > PIECE]:
-            del self.known[piece]
+        lines, first, later = {}, set(), set()
+        for i, t in enumerate(texts):
+            if t and len(t.split()) == t.count(" ") + t.count("\n") + 1:
+                lines[i] = [x.split(" ") for x in t.split("\n")]
+                for words in lines[i]:
+                    first.add(words[0])
+                    later.update(words[1:])
+            elif t:  # runs of white space, or other than spaces and line breaks
+                out[i] = b"".join(self._runs(t))
+        # letters and marks behind them are never in one token
+        marked = {p: (m[1], m[2]) for p in later - self.known.keys() if (m := _PUNCTUATED.fullmatch(p))}
+        first |= {b for _, b in marked.values()}
+        behind = (later - marked.keys()) | {a for a, _ in marked.values()}
+        if len(self.known) > REMEMBERED:  # what these texts use is likely to come again
+            self.known = {p: self.known[p] for p in behind & self.known.keys()}
+        if len(self.bare) > REMEMBERED:
+            self.bare = {p: self.bare[p] for p in first & self.bare.keys()}
+        self._learn(first, self.bare, "\n")
+        self._learn(behind, self.known, " ")
+        for p, (a, b) in marked.items():
+            self.known[p] = self.known[a] + self.bare[b]
+        known, bare, line = self.known.__getitem__, self.bare, np.array([self.line], "<u4").tobytes()
+        for i, parts in lines.items():
+            out[i] = line.join([bare[w[0]] + b"".join(map(known, w[1:])) for w in parts])
+        for p in marked:  # quickly put together again
+            del self.known[p]
+        for pieces, known in ((behind, self.known), (first, self.bare)):
+            for piece in [x for x in pieces if len(x) > PIECE]:
+                del known[piece]
         return out
 
     def _runs(self, text: str) -> list[bytes]:
         parts = re.split(r"(?<=\S) (?=\S)", text)
-        out = self._plain(parts[:1])
-        rest = parts[1:]
-        plain = [p for p in set(rest) - self.known.keys() if " " not in p and not p[-1].isspace()]
-        self._learn(plain)
-        odd = list(set(rest) - self.known.keys())
+        rest = set(parts[1:])
+        self._learn({p for p in rest if not re.search(r"\s", p)}, self.known, " ")
+        odd = [p for p in rest if p not in self.known]
         extra = dict(zip(odd, self._plain([" " + p for p in odd]), strict=True))
-        return out + [extra[p] if p in extra else self.known[p] for p in rest]
+        return self._plain(parts[:1]) + [extra[p] if p in extra else self.known[p] for p in parts[1:]]
 
 
 def encoder(path: str) -> Encoder:
