@@ -96,9 +96,9 @@ def iou(spark, d):
     return both(spark, d).select(*KEY, F.round(g.iou(A, B), 6).alias("iou"), F.round(A.area, 6).alias("area"))
 
 
-@query("g8_text_overlap", with_sql("fig tb", f", both_ AS ({BOTH}), s AS (SELECT capture_id, sum({INTER}) AS s FROM both_ GROUP BY 1) SELECT capture_id, least(1, round(coalesce(s,0)/(w*h),6)) AS text_overlap FROM fig LEFT JOIN s USING (capture_id)"))
+@query("g8_text_overlap", with_sql("fig tb", f", both_ AS ({BOTH}), s AS (SELECT capture_id, sum({INTER}) AS s FROM both_ GROUP BY 1) SELECT capture_id, least(1, round(coalesce(s,0)/(w*h),9)) AS text_overlap FROM fig LEFT JOIN s USING (capture_id)"))
 def text_overlap(spark, d):
-    return relations.text_overlap(one_figure(spark, d, "cand_id"), blocks(spark, d)).select("capture_id", F.round("text_overlap", 6).alias("text_overlap"))
+    return relations.text_overlap(one_figure(spark, d, "cand_id"), blocks(spark, d)).select("capture_id", "text_overlap")
 
 
 @query("g9_text_free_regions", with_sql("fig tb", f", both_ AS ({BOTH}), s AS (SELECT capture_id, sum({INTER}) AS s FROM both_ GROUP BY 1) SELECT capture_id, x, y, w, h FROM fig LEFT JOIN s USING (capture_id) WHERE round(coalesce(s,0)/(w*h),9)<0.04"))
@@ -160,10 +160,10 @@ def aspect_filter(spark, d):
     return blocks(spark, d).where(aspect >= 15).select(*KEY, aspect.alias("aspect"))
 
 
-@query("g20_text_bleed_filter", with_sql("fig tb", f", both_ AS ({BOTH}), s AS (SELECT capture_id, sum({INTER}) AS s FROM both_ GROUP BY 1) SELECT capture_id, round(coalesce(s,0)/(w*h),6) AS bleed FROM fig LEFT JOIN s USING (capture_id) WHERE round(coalesce(s,0)/(w*h),9)<=0.10"))
+@query("g20_text_bleed_filter", with_sql("fig tb", f", both_ AS ({BOTH}), s AS (SELECT capture_id, sum({INTER}) AS s FROM both_ GROUP BY 1) SELECT capture_id, round(coalesce(s,0)/(w*h),9) AS bleed FROM fig LEFT JOIN s USING (capture_id) WHERE round(coalesce(s,0)/(w*h),9)<=0.10"))
 def text_bleed(spark, d):
     f = relations.text_overlap(one_figure(spark, d, "cand_id"), blocks(spark, d))
-    return f.where("text_overlap <= 0.10").select("capture_id", F.round("text_overlap", 6).alias("bleed"))
+    return f.where("text_overlap <= 0.10").select("capture_id", F.col("text_overlap").alias("bleed"))
 
 
 @query("g21_low_confidence", with_sql("tb", "SELECT capture_id, bool_or(round(confidence,9)<0.7) AS has_low, sum((round(confidence,9)<0.7)::INT)::BIGINT AS low_words FROM tb GROUP BY capture_id"))
