@@ -285,6 +285,15 @@ def test_line_dedup_matches_brute_force(spark, words):
     assert sum(got[i] != want[i] for i in want) <= 1  # banding may miss a link now and then
 
 
+def test_line_dedup_tests_all_of_a_bucket(spark, words, monkeypatch):
+    """Two like pairs among 300 unlike lines that all meet in every bucket."""
+    monkeypatch.setattr(line_dedup, "minima", lambda line: F.array(*(F.lit(i) for i in range(line_dedup.STARTS))))
+    lines = [prose(words, 9000 + i, 4) for i in range(300)]
+    lines += [f"{lines[100]}z", f"{lines[200]}z"]
+    out = line_dedup.dedup_lines(docs(spark, [(i, x, "s") for i, x in enumerate(lines)])).where("lines_kept = 0").toPandas()
+    assert sorted(out.doc_id) == [300, 301]
+
+
 def test_line_dedup_odd_input(spark):
     rows = [(2, "same line here\n\nother", "s"), (1, "Same line here ", "s"), (3, None, "s"), (4, "", "s"), (5, "漢字漢字漢字漢字の行です", "s"), (6, "x\n" * 3 + "x", "s"), (2, "same line here\n\nother", "s"), (None, "null id", "s"), (9, "null id", "s")]
     d = docs(spark, rows).withColumn("lines", F.lit("clash")).withColumn("id", F.lit(0))
