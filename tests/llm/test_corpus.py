@@ -294,6 +294,15 @@ def test_line_dedup_tests_all_of_a_bucket(spark, words, monkeypatch):
     assert sorted(out.doc_id) == [300, 301]
 
 
+def test_line_dedup_signs_the_verified_shingles(spark):
+    """Like lines whose words, script or marks differ meet; each pair has a similarity of 0.8 or more."""
+    thai = "".join(chr(0x0E01 + i * 7 % 40) for i in range(60))
+    url = "https://example.org/a/long/path/of/pages/item-number-00"
+    pairs = [("advertisement 1", "advertisement 2"), (f"{url}1", f"{url}2"), (thai, thai[:-1]), ("a line of plain words that all have their own letters", "\ufeffa line of plain words that all have their own letters")]
+    out = line_dedup.dedup_lines(docs(spark, [(i, x, "s") for i, x in enumerate(x for p in pairs for x in p)])).toPandas()
+    assert sorted(out.doc_id[out.lines_kept == 0]) == [1, 3, 5, 7]
+
+
 def test_line_dedup_odd_input(spark):
     rows = [(2, "same line here\n\nother", "s"), (1, "Same line here ", "s"), (3, None, "s"), (4, "", "s"), (5, "漢字漢字漢字漢字の行です", "s"), (6, "x\n" * 3 + "x", "s"), (2, "same line here\n\nother", "s"), (None, "null id", "s"), (9, "null id", "s")]
     d = docs(spark, rows).withColumn("lines", F.lit("clash")).withColumn("id", F.lit(0))
