@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.functions import geometry as g
 from quire.operators import captures, reading, regions, relations, screens
@@ -215,8 +216,11 @@ def promoted_subjects(spark, d):
 
 @query("g32_flow_layout")
 def flow_layout(spark, d):
-    """Words of each document's first line wrapped greedily into lines of 600 units, eight units a character."""
-    return captures.flow_lines(reading.line_words(doc_blocks(spark, d)).where("block_id = 0"), "word", "word_no", 600.0, 8.0, 4.0)
+    """Words of all lines of each document wrapped greedily into lines of 600 units, eight units a character."""
+    words = reading.line_words(L.document_blocks(L.table(spark, d, "documents"), None))
+    order = Window.partitionBy("capture_id").orderBy("block_id", "word_no")
+    words = words.withColumn("word_no", (F.row_number().over(order) - 1).cast("long"))
+    return captures.flow_lines(words, "word", "word_no", 600.0, 8.0, 4.0)
 
 
 # ---- sources: windows and observations

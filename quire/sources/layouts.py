@@ -35,10 +35,11 @@ def figures(orders: DataFrame) -> DataFrame:
     return _scaled(orders.select(k.alias("capture_id"), ((c * 31) % 500).cast("long").alias("xi"), ((c * 17) % 600).cast("long").alias("yi"), (200 + (k * 7) % 300).cast("long").alias("wi"), (150 + (k * 11) % 250).cast("long").alias("hi")))
 
 
-def document_blocks(documents: DataFrame, most_lines: int = 40) -> DataFrame:
-    """The first lines of each document as blocks: even documents in one column, odd ones in two below a title."""
+def document_blocks(documents: DataFrame, most_lines: int | None = 40) -> DataFrame:
+    """The first lines of each document (None: all, below the page too) as blocks: even documents in one column, odd ones in two below a title."""
     lines = documents.select(F.col("doc_id").alias("capture_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
-    lines = lines.where((F.col("line_no") < most_lines) & (F.char_length("text") > 0))
+    lines = lines.where(F.char_length("text") > 0)
+    lines = lines if most_lines is None else lines.where(F.col("line_no") < most_lines)
     odd, n, no = F.col("capture_id") % 2 == 1, F.char_length("text"), F.col("line_no")
     row = F.when(odd, F.floor((no + 1) / 2)).otherwise(no)
     return _scaled(lines.select(

@@ -254,3 +254,11 @@ def test_confidence_is_bounded(spark):
     names = ["compactness", "uniformity", "shape_balance", "boundary_contrast", "anchor_proximity", "text_coverage", "delta"]
     full = {n: F.lit(100.0 if n == "boundary_contrast" else 1.0) for n in names} | {"relative_area": F.lit(0.0), "merged": F.lit(True)}
     assert math.isclose(spark.range(1).select(scoring.blob_confidence(full).alias("c")).first().c, 1.0)
+
+
+def test_flow_layout_takes_all_lines(spark, tmp_path):
+    from quire.plans import catalog
+
+    spark.createDataFrame([(1, "\n".join(f"a{i} b{i}" for i in range(50)))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["g32_flow_layout"](spark, str(tmp_path)).toPandas()
+    assert sorted(got.word_no) == list(range(100))
