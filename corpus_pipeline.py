@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import line_dedup, mixing, near_dedup, packing, quality
-from quire.llm.queries import tokenizer_path
+from quire.llm.queries import MIX_WEIGHTS, tokenizer_path
 from quire.llm.shared import Scratch
 
 
@@ -35,8 +35,8 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in an order in which every source keeps to the same share for as long as it lasts."""
-    return mixing.mix(docs).orderBy("mix_slot", "mix_place").select(docs.columns)
+    """The documents in an order in which every source keeps to its target share for as long as it lasts."""
+    return mixing.mix(docs, MIX_WEIGHTS).orderBy("mix_slot", "mix_place").select(docs.columns)
 
 
 def cost_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,10 @@ from quire.llm import html_extract, language, line_dedup, mixing, near_dedup, ne
 from quire.llm.shared import Scratch
 
 
+#: Target weights of the sources in the mixture; a source that is not named follows when the others are through.
+MIX_WEIGHTS = {f"src{i}": (4.0, 2.0, 1.0, 1.0)[i % 4] for i in range(20)}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -62,7 +66,7 @@ def op8_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), MIX_WEIGHTS)
     return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_place")
 
 

@@ -338,6 +338,14 @@ def test_mixing_deviation(spark, weights):
     assert deviations(out, weights or dict.fromkeys(sizes, 1.0), 10) < 1.05  # one block, and what rounding weights to 840 slots adds
 
 
+def test_mixing_query_has_unequal_weights(spark):
+    first = {}
+    for r in queries.op9_pfair_mixing(spark, DATA).collect():
+        first[r.source] = min(first.get(r.source, r.mix_slot), r.mix_slot)
+    heavy, light = ([first[s] for s, w in queries.MIX_WEIGHTS.items() if w == x] for x in (4.0, 1.0))
+    assert max(heavy) < min(light)
+
+
 def test_mixing_odd_input(spark):
     rows = [(1, None, None), (1, None, None), (None, "t", "a"), (2, "", "a"), (3, "x", "left out")]
     d = docs(spark, rows).withColumn("mix_slot", F.lit("old"))
