@@ -1,6 +1,8 @@
 """Order MinHash fingerprints of documents in SQL functions (operator 6).
 
-A text's k-mers are pairs of neighbouring words (a word longer than 16 characters counts as several). A
+A text's k-mers are pairs of neighbouring words; a run without spaces of more than 16 characters counts as
+the overlapping stretches of up to 16 that begin at each of its characters (in runs of up to 31, not at some
+in the middle), so an edit changes only the k-mers near it. A
 k-mer is numbered by its occurrence in the text, so repeats stay apart, and hashed with that number. The
 hashes lie on a circle, in which each of ``SLOTS`` starting points is an order of its own: the two k-mers
 that are minimal in that order are put in the order of the text, and their hashes make the slot's tuple.
@@ -28,7 +30,7 @@ def fingerprint(text: Column) -> Column:
     doubling steps back. ``h`` has them hashed with that number and sorted again; of each slot that holds any,
     the first stands for the slot and the empty ones before it.
     """
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\S{1,16})"), F.lit(1))
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?:(?<!\S)|(?<=\S{16})|(?=\S{17}))(?=(\S{1,16}))"), F.lit(1))
     key = lambda x: F.shiftright(x, PLACE)
     place = lambda x: x.bitwiseAND(F.lit((1 << PLACE) - 1))
     slot = lambda x: F.shiftright(x, PLACE + 29).cast("int")  # noqa: E731  the key's 6 highest bits

@@ -255,6 +255,13 @@ def test_fingerprint_sees_order_and_repeats(spark, words):
     assert like(0, 0) == 1.0 and like(0, 4) > 0.8 and like(0, 2) < 0.1 and like(0, 1) < 0.9 and like(0, 3) < 0.9
 
 
+def test_fingerprint_of_unspaced_text_survives_an_insertion(spark):
+    rng = random.Random(4)
+    t = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(1000))
+    d = spark.createDataFrame([(t, t[:3] + "x" + t[3:])], "a string, b string")
+    assert d.select(order_minhash.likeness(order_minhash.fingerprint(F.col("a")), order_minhash.fingerprint(F.col("b"))).alias("v")).first().v > 0.8
+
+
 # ---- line dedup
 
 
