@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.tokens import encoder, texts_in_batches
+from quire.llm.tokens import encoded
 
 
 def pack_rests(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -48,7 +48,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
     Documents are read whole, however long; other columns, whatever their names, are not read.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    tail = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def packed(block: list[tuple[int | None, bytes]], first: int) -> tuple[pa.RecordBatch, int]:
@@ -67,17 +66,15 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names), first + used
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, sequence, block, size = encoder(tokenizer), TaskContext.get().partitionId() << 40, [], 0
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for at, texts in texts_in_batches(batch, 1):
-                for i, found in enumerate(enc.encode(texts)):
-                    block.append((ids[at + i], found + tail))
-                    size += len(found) // 4 + 1
-                    if size >= block_tokens:
-                        out, sequence = packed(block, sequence)
-                        yield out
-                        block, size = [], 0
+        sequence, block, size = TaskContext.get().partitionId() << 40, [], 0
+        for rows, ids, ends in encoded(batches, 1, tokenizer, end_id):
+            for doc, found in zip(rows.column(0).to_pylist(), np.split(ids.astype("<u4", copy=False), ends[:-1]), strict=True):
+                block.append((doc, found.tobytes()))
+                size += len(found)
+                if size >= block_tokens:
+                    out, sequence = packed(block, sequence)
+                    yield out
+                    block, size = [], 0
         if block:
             yield packed(block, sequence)[0]
 
