@@ -1,21 +1,20 @@
 """Near-duplicate documents by b-bit MinHash (operator 3).
 
 A document's set holds its distinct k-word shingles as 64-bit hashes. Documents with equal sets are one
-class. Each class has 256 minima; four bits of each are packed into a 128-byte signature, and 24 bands of
-four whole minima give the buckets in which candidates meet (a pair at similarity 0.8 misses all 24 with
-probability 3e-6). Candidates pass in two rounds, so that a bucket of near copies never becomes all its
-pairs:
+class, named by a hash of the set. Each class has 256 minima; four bits of each are packed into a 128-byte
+signature, and 24 bands of four whole minima give the buckets in which candidates meet (a pair at similarity
+0.8 misses all 24 with probability 3e-6). Candidates pass in two rounds, so that a bucket of near copies
+never becomes all its pairs:
 
 1. every member is paired with the smallest member of its bucket and with its neighbour in order;
    pairs whose collision-corrected estimate from bit counts is too low go; the rest are confirmed on the
    full sets, and confirmed links are joined into components;
-2. documents that meet in some bucket form clusters. Only in clusters that still hold several components,
-   the members outside the largest component are estimated against all members, block against piece, and
-   pairs that pass are confirmed on the full sets. Pairs inside a component need no second look, as the
-   result is the component. The work of a cluster is (members outside the largest component) x (members),
-   in tasks of at most about 512 x 1024 documents.
+2. only in buckets that still hold several components, the pairs across components are estimated and
+   confirmed (``shared.across``): as rows in buckets of up to 64, block against piece in wider ones. Pairs
+   inside a component need no second look, as the result is the component.
 
-The estimate's cut is 4.5 standard deviations below the threshold, so it only spares exact checks.
+The work so follows the pairs that share a bucket, not the clusters that buckets chain together. The
+estimate's cut is 4.5 standard deviations below the threshold, so it only spares exact checks.
 """
 
 from __future__ import annotations
@@ -27,12 +26,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quire.llm.shared import Scratch, components, in_slots, slices, slots_of
+from quire.llm.shared import Scratch, across, components, first_pairs, in_slots, met, slices, slots_of
 
 MINIMA, BITS, BANDS, ROWS = 256, 4, 24, 4
-LEFT, RIGHT = 512, 1024
+FEW, LEFT, RIGHT = 64, 256, 512
 _SALT = np.random.default_rng(20).integers(0, 2**31, (MINIMA, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ODD = np.random.default_rng(21).integers(0, 2**62, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -52,6 +50,11 @@ def word_shingles(text: str | None, k: int) -> np.ndarray:
     return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
+def set_key(shingles: np.ndarray) -> int:
+    """The 64-bit name of a set that is not empty."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - 2**63
+
+
 def minima(shingles: np.ndarray) -> np.ndarray:
     """256 minima of a set under multiplicative orders of its 32-bit hashes; long sets in pieces."""
     x = (shingles >> np.uint64(20)).astype(np.uint32)
@@ -86,11 +89,11 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def _signatures(text_col: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out = {"doc_id": batch.column(0), "n": [], "key": [], "bands": [], "sig": []}
+            out = {"n": [], "key": [], "bands": [], "sig": []}
             for text in batch.column(text_col).to_pylist():
                 s = word_shingles(text, k)
                 out["n"].append(len(s))
-                out["key"].append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
+                out["key"].append(set_key(s) if len(s) else None)
                 if not len(s):
                     out["bands"].append(None)
                     out["sig"].append(None)
@@ -100,8 +103,8 @@ def _signatures(text_col: int, k: int):
                 out["bands"].append([xxhash.xxh3_64_intdigest(x.tobytes(), seed=j) - 2**63 for j, x in enumerate(bands)])
                 out["sig"].append(pack(m))
             yield pa.RecordBatch.from_arrays(
-                [out["doc_id"], pa.array(out["n"], pa.int64()), pa.array(out["key"], pa.int64()), pa.array(out["bands"], pa.list_(pa.int64())), pa.array(out["sig"], pa.binary())],
-                ["doc_id", "n", "key", "bands", "sig"],
+                [*batch.columns[:text_col], pa.array(out["n"], pa.int64()), pa.array(out["key"], pa.int64()), pa.array(out["bands"], pa.list_(pa.int64())), pa.array(out["sig"], pa.binary())],
+                [*batch.schema.names[:text_col], "n", "key", "bands", "sig"],
             )
 
     return run
@@ -111,8 +114,8 @@ def _sets(k: int, slots):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             batch = batch.filter(pa.array(in_slots(slots.value, batch.column(2).to_numpy())))
-            sets = [word_shingles(t, k).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+            sets = [s for t in batch.column(1).to_pylist() if len(s := word_shingles(t, k))]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
 
     return run
 
@@ -140,7 +143,7 @@ def _confirm(percent: int):
 
 
 def _across(cut: float, percent: int):
-    """Confirmed links between components in one block pair of a cluster: left rows against right rows.
+    """Confirmed links between components in one block pair of a bucket: rows of side 0 against rows of side 1.
 
     A pair whose ends a link has joined meanwhile is skipped, so the links of a block form a forest.
     """
@@ -165,65 +168,57 @@ def _across(cut: float, percent: int):
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Component of every document: ``doc_id, n_shingles, component_id, kept``.
+    """Component of every document: ``doc_id, n_shingles, component_id, kept, text_hash``.
 
     Documents are linked where 100 * intersection >= percent * union of their k-word shingle sets;
-    ``component_id`` is the smallest id reachable over links, ``kept`` marks the row whose id that is.
+    ``component_id`` is the smallest id reachable over links, ``kept`` marks the rows whose id that is.
     Null, empty and blank texts have an empty set (n_shingles 0) and are linked with nothing; texts with
-    fewer than k words have the whole sequence as their one shingle. Rows that repeat an id are one node:
-    each keeps its own row and n_shingles. Rows with a null id take part as no node and are kept, with a
-    null component. Other columns, whatever their names, are not read. Texts are read whole.
+    fewer than k words have the whole sequence as their one shingle. Rows that repeat an id are judged by
+    their own text each (``text_hash``, Spark's xxhash64 of it, tells them apart). Rows with a null id link
+    nothing and are kept; their component is that of the rows with their set, or null. Sets and shingles are
+    named by 64-bit hashes. Other columns, whatever their names, are not read. Texts are read whole. An
+    empty table gives no rows.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near")
     p = percent / 100 + (1 - percent / 100) * 2.0**-BITS
     cut = percent / 100 - 4.5 * (p * (1 - p) / MINIMA) ** 0.5
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sigs = scratch.write(base.mapInArrow(_signatures(1, k), "doc_id long, n long, key long, bands array<long>, sig binary"), "sigs")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    sigs = scratch.write(base.mapInArrow(_signatures(2, k), "doc_id long, text_hash long, n long, key long, bands array<long>, sig binary"), "sigs")
     classes = sigs.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    of = sigs.select("doc_id", "n", "key").join(classes, "key", "left")  # every row and the smallest id with its set
+    classes = scratch.write(classes, "classes")  # every set and the smallest id that has it
     heads = sigs.where("key IS NOT NULL").join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"]).dropDuplicates(["key"])
-    slim = heads.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band"))
-    w = Window.partitionBy("band")
-    met = slim.withColumn("size", F.count("*").over(w)).where("size > 1")
-    met = scratch.write(met.withColumn("first", F.min("id").over(w)).withColumn("before", F.lag("id").over(w.orderBy("id"))), "met")
-    heads = scratch.write(heads.join(met.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "key", "sig"), "heads")
-    slots = spark.sparkContext.broadcast(slots_of(heads.select("id")))
-    wanted = base.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).mapInArrow(_sets(k, slots), "doc_id long, shingles binary")
-    # a repeated id may come with several texts: each set stays apart, under one id
-    wanted = wanted.where("octet_length(shingles) > 0").join(heads.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    heads = scratch.write(heads.select(F.col("key").alias("id"), "doc_id", "bands", "sig"), "heads")
+    meeting = scratch.write(met(heads.select("id", F.explode("bands").alias("band"))), "met")
+    scratch.sweep()
+    heads = scratch.write(heads.select("id", "doc_id", "sig").join(meeting.select("id").distinct(), "id", "left_semi"), "signed")
+    scratch.drop("heads")
+    slots = spark.sparkContext.broadcast(slots_of(heads.select(F.xxhash64("doc_id").alias("hash"))))
+    wanted = base.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(_sets(k, slots), "id long, shingles binary")
+    wanted = wanted.join(heads.select("id"), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
     sets = scratch.write(wanted, "sets")
+    scratch.sweep()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-        right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+        left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
         return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
 
     def likely(pairs: DataFrame) -> DataFrame:
         left, right = (heads.select(F.col("id").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
         return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_close(cut), "a long, b long")
 
-    star = met.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    chain = met.where("before <> first AND before <> id").select(F.col("before").alias("a"), F.col("id").alias("b"))
-    links = scratch.write(confirmed(likely(star.union(chain).distinct())), "links-1")
-    comp = components(scratch, links, "cc1")
-    # round two: clusters of documents that meet in some bucket, where they are still in several components;
-    # all but the largest component, in blocks, against all members, in pieces
-    cluster = components(scratch, star, "meet")
-    member = heads.join(cluster.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id", "left").join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
-    member = member.select("id", F.coalesce("cluster", "id").alias("cluster"), F.coalesce("component", "id").alias("comp"))
-    parts = member.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
-    parts = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("top"))
-    open_ = parts.where("comps > 1 AND n > 2").select("cluster", F.col("top.comp").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / LEFT).cast("int").alias("blocks"), F.ceil(F.col("n") / RIGHT).cast("int").alias("pieces"))
-    member = scratch.write(member.join(open_, "cluster"), "member")
-    h = F.xxhash64("id")
-    left = member.where("comp <> main").withColumn("block", F.pmod(h, F.col("blocks")).cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    right = member.withColumn("piece", F.pmod(h, F.col("pieces")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cols = ["id", "comp", "cluster", "block", "piece"]
-    sided = left.select(*cols, F.lit(0).alias("side")).union(right.select(*cols, F.lit(1).alias("side")))
-    sided = sided.join(heads.select("id", "sig"), "id").join(sets.select(F.col("doc_id").alias("id"), "shingles"), "id")
-    more = sided.groupBy("cluster", "block", "piece").applyInArrow(_across(cut, percent), "a long, b long")
-    links = scratch.write(links.union(more), "links-2")
-    comp = components(scratch, links, "cc2")
-    out = of.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    tested = scratch.write(first_pairs(meeting), "pairs-1")
+    links = scratch.write(confirmed(likely(tested)), "links-1")
+    pairs, blocks = across(meeting, components(scratch, links, "cc-1"), FEW, LEFT, RIGHT)
+    more = confirmed(likely(pairs.join(tested, ["a", "b"], "left_anti")))
+    wide = blocks.join(heads.select("id", "sig"), "id").join(sets, "id").groupBy("band", "block", "piece").applyInArrow(_across(cut, percent), "a long, b long")
+    links = scratch.write(links.union(more).union(wide), "links-2")
+    comp = components(scratch, links, "cc-2")
+    member = comp.select(F.col("node").alias("key"), "component").union(comp.select("component", "component").distinct())
+    member = member.join(classes, "key")
+    least = member.join(member.groupBy("component").agg(F.min("rep").alias("least")), "component").select("key", "least")
+    named = scratch.write(classes.join(least, "key", "left").select("key", F.coalesce("least", "rep").alias("component_id")), "named")
+    scratch.keep_only("sigs", "named")
+    scratch.sweep()
+    out = sigs.select("doc_id", "text_hash", "n", "key").join(named, "key", "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

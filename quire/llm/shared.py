@@ -45,21 +45,32 @@ class Scratch:
         self.base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, table: str, **options) -> DataFrame:
-        """Write ``df`` as Parquet and return it as read back; its lineage starts at these files.
-
-        The driver's collector runs then, so that Spark's cleaner frees the shuffle files that led here.
-        """
+        """Write ``df`` as Parquet and return it as read back; its lineage starts at these files."""
         df.write.options(**{"compression": "zstd", **options}).parquet(f"{self.base}/{table}")
+        return self.read(table, df.schema)
+
+    def sweep(self) -> None:
+        """Let Spark's cleaner free the shuffle files of what is written by now, after a step that shuffled much."""
         gc.collect()
         self.spark._jvm.System.gc()
-        return self.read(table, df.schema)
 
     def read(self, table: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.base}/{table}")
 
-    def drop(self, table: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{table}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for table in tables:
+            path, fs = self._at(f"{self.base}/{table}")
+            fs.delete(path, True)
+
+    def keep_only(self, *tables: str) -> None:
+        """Delete all other tables of this call."""
+        path, fs = self._at(self.base)
+        self.drop(*{f.getPath().getName() for f in fs.listStatus(path)}.difference(tables))
+
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -69,27 +80,98 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def slots_of(ids: DataFrame, log2: int = 24) -> bytearray:
-    """A bitmap of 2**``log2`` bits with the hashed slot of every id in ``ids(id)`` set: 2 MB, however many ids.
+def slots_of(hashes: DataFrame, log2: int = 24) -> bytearray:
+    """A bitmap of 2**``log2`` bits with the slot of every ``hash`` of a table set: 2 MB, however many rows.
 
-    A row whose slot is not set is not among the ids, so it can be left out before a shuffle; a row whose slot
+    A row whose slot is not set is not among them, so it can be left out before a shuffle; a row whose slot
     is set still has to be joined. Test it with ``in_slots`` in a task.
     """
-    slot = F.pmod(F.xxhash64("id"), F.lit(1 << log2))
-    words = ids.select(F.shiftright(slot, 5).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {1 << log2}) AS int) & 31)").alias("bit"))
+    slot = F.pmod("hash", F.lit(1 << log2))
+    words = hashes.select(F.shiftright(slot, 5).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(hash, {1 << log2}) AS int) & 31)").alias("bit"))
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2**19 rows of two numbers at most
     out = np.zeros(1 << (log2 - 5), "<u4")
-    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():  # 2**19 rows at most
-        out[r["word"]] = r["bits"]
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().astype("<u4")
     return bytearray(out.tobytes())
 
 
 def in_slots(slots: bytearray, hashes: np.ndarray) -> np.ndarray:
-    """Which of the signed 64-bit ``hashes`` (Spark's xxhash64 of the ids) have their slot set."""
+    """Which of the signed 64-bit ``hashes`` have their slot set."""
     bits = np.frombuffer(slots, np.uint8)
     slot = hashes & (len(bits) * 8 - 1)
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, id), sorted, as a stream: see ``met``. What passes from batch to batch is the last row's run."""
+    names = ["band", "id", "low", "before", "nth"]
+    band, low, last, nth = None, 0, 0, 0  # the run that is under way: its band, first id, latest id and its number
+    for batch in batches:
+        b, i = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(b):
+            continue
+        before_b, before_i = np.append(b[0] if band is None else band, b[:-1]), np.append(i[0] if band is None else last, i[:-1])
+        new = b != before_b
+        new[0] |= band is None
+        fresh = new | (i != before_i)  # repeated rows go
+        b, i, before_i, new = b[fresh], i[fresh], before_i[fresh], new[fresh]
+        if not len(b):
+            continue
+        start = np.maximum.accumulate(np.where(new, np.arange(len(b)), -1))
+        lows = np.where(start < 0, low, i[start])
+        nths = np.where(start < 0, nth + 1 + np.arange(len(b)), np.arange(len(b)) - start)
+        show = ~new | np.append(~new[1:], False)  # the first of a run only if a second follows
+        cols = [b[show], i[show], lows[show], np.where(new, 0, before_i)[show], nths[show]]
+        first = new[show]
+        if not new[0] and nth == 0:  # the first row of the run under way was held back
+            cols = [np.append(x, y) for x, y in zip((band, last, low, 0, 0), cols, strict=True)]
+            first = np.append(True, first)
+        band, low, last, nth = b[-1], lows[-1], i[-1], nths[-1]
+        arrays = [pa.array(x, pa.int64(), mask=first if n == "before" else None) for n, x in zip(names, cols, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, names)
+
+
+def met(banded: DataFrame) -> DataFrame:
+    """``band, id, low, before, nth``: the rows of ``banded(band, id)`` in bands that hold at least two ids.
+
+    ``low`` is the smallest id of the band, ``before`` the next smaller one (null for ``low``), ``nth`` the
+    id's number from 0. Bands are sorted by Spark and pass as a stream, so a band of any size needs no room.
+    """
+    dealt = banded.select("band", "id").repartition("band").sortWithinPartitions("band", "id")
+    return dealt.mapInArrow(_meeting, "band long, id long, low long, before long, nth long")
+
+
+def first_pairs(met: DataFrame) -> DataFrame:
+    """``a, b``: each id with the smallest of its band and with the next smaller one; linear in the rows of ``met``."""
+    star = met.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
+    chain = met.where("before <> low").select(F.col("before").alias("a"), F.col("id").alias("b"))
+    return star.union(chain).distinct()
+
+
+def across(met: DataFrame, comp: DataFrame, few: int, left: int, right: int) -> tuple[DataFrame, DataFrame]:
+    """All pairs of ids that meet in a band and are in different components of ``comp(node, component)``, in two forms.
+
+    Bands of at most ``few`` ids give rows ``a, b``: less than ``few`` / 2 for each row of ``met``. Of wider
+    bands, the ids outside the band's largest component, in blocks of about ``left``, meet all ids of the
+    band, in pieces of about ``right``: rows ``id, comp, band, block, piece, side`` (0: block, 1: piece), to be
+    grouped by band, block and piece. Bands of up to three ids are left out: ``first_pairs`` has all of theirs.
+    """
+    wide = met.where("nth = 3").select("band")
+    member = met.select("band", "id").join(wide, "band", "left_semi").join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
+    member = member.select("band", "id", F.coalesce("component", "id").alias("comp"))
+    parts = member.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    parts = parts.groupBy("band").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("top")).where("comps > 1")
+    small = member.join(parts.where(F.col("n") <= few).select("band"), "band")
+    x, y = (small.select("band", F.col("id").alias(i), F.col("comp").alias(f"c{i}")) for i in "ab")
+    pairs = x.join(y, "band").where("ca <> cb AND a < b").select("a", "b").distinct()
+    large = parts.where(F.col("n") > few).select("band", F.col("top.comp").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / left).cast("int").alias("blocks"), F.ceil(F.col("n") / right).cast("int").alias("pieces"))
+    member, h = member.join(large, "band"), F.xxhash64("id")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["id", "comp", "band", "block", "piece"]
+    own = member.where("comp <> main").withColumn("block", F.pmod(h, F.col("blocks")).cast("int")).withColumn("piece", every("pieces"))
+    others = member.withColumn("piece", F.pmod(h, F.col("pieces")).cast("int")).withColumn("block", every("blocks"))
+    return pairs, own.select(*cols, F.lit(0).alias("side")).union(others.select(*cols, F.lit(1).alias("side")))
+
+
 def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:
     """Distributed union-find: ``edges(a, b)`` to ``(node, component)``, component the smallest node reachable.
 
@@ -104,12 +186,16 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFram
     while True:
         size = e.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if size == before or size[0] == 0:
+            scratch.sweep()
             return e.select(F.col("v").alias("node"), F.col("u").alias("component"))
         before = size
         # large star: every neighbour that is larger than the node moves to the node's smallest neighbour
         half = e.select(F.col("v").alias("n"), F.col("u").alias("m")).union(e.select("u", "v"))
         least = half.groupBy("n").agg(F.min("m").alias("least")).select("n", F.least("n", "least").alias("least"))
-        large = half.where("m > n").join(least, "n").select(F.col("m").alias("v"), F.col("least").alias("u")).distinct()
+        # the rows of a root that many nodes know are dealt over eight keys
+        parted = half.where("m > n").withColumn("part", F.pmod(F.xxhash64("m"), F.lit(8)))
+        least = least.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
+        large = parted.join(least, ["n", "part"]).select(F.col("m").alias("v"), F.col("least").alias("u")).distinct()
         # small star: a node and its smaller neighbours move to the smallest of these
         root = large.groupBy("v").agg(F.min("u").alias("root"))
         moved = large.join(root, "v").where("u <> root").select(F.col("u").alias("v"), F.col("root").alias("u"))
