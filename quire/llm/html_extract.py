@@ -3,7 +3,7 @@
 A page is read into a tree of block elements. Every paragraph passes points for its length and its commas
 to its container (whole) and to the ancestors above (a half, a third, ...); a container's score is
 discounted by the share of its text that stands in links. The best container (or the article that encloses
-it) is kept with those siblings that score well beside it. Menus, headers, footers, sidebars, notices,
+it) is kept with those siblings that score well beside it and what stands between them. Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments are cut by element, role and class before scoring.
 """
 
@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_RAW = "script|style|template|noscript|textarea|title|iframe|svg|math|object|select|button"
+from quire.llm.shared import slices
+
+_RAW = "script|style|template|noscript|textarea|title|iframe|svg|object|select|button|annotation|annotation-xml"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>])[^>]*(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z))|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\s(?:\"[^\"<]*\"|'[^'<]*'|[^>\"'])*+|/?)>|[^>]*>)",
@@ -25,16 +27,23 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""([a-zA-Z_:][\w:.-]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 # Element and class names of HTML pages.
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var"
+    " math menclose mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_CUT = frozenset("nav footer aside form dialog menu head figure audio video canvas".split())
+_CUT = frozenset("nav footer aside form dialog menu head audio video canvas".split())
 _CUT_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 _CUT_NAME = frozenset(
     "ad ads advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs comment comments commentlist disqus cookie cookies consent gdpr footer masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related recommended share sharing sidebar sidenav signup skyscraper social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
+#: Words that may stand beside one of the above in a class or id without changing what it names.
+_BESIDE = frozenset(
+    "a app area article bar blog block body bottom box button buttons center col column container content cta desktop entry feed float global grid group head header holder icons inner inline item items js layout left leaderboard link links list local lower main media mid middle mobile network networks off on outer page panel post posts primary region right row secondary section side site slot small sticky stories story tertiary the thread tools top unit upper user users view wide wrap wrapper".split()
+)
 _LISTS = frozenset("ul ol dl table tr td th tbody thead div section".split())
 _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_DEEPEST = 250  # elements below that count as text of the last one, as browsers do at some depth
+_DEEPEST = 250  # elements below that are children of the one at this depth, as browsers do at some depth
 _FENCE = frozenset("ul ol dl table body html article section div".split())
 
 
@@ -54,14 +63,23 @@ class _Node:
         return self.points * (1 - self.links / self.size) if self.size else 0.0
 
 
+def _names_clutter(names: str) -> bool:
+    """Whether one of the names in a class or id says that the element is no content: not ``market-share``, but ``share-bar``."""
+    for name in names.split():
+        words = [w for w in re.split(r"[^a-z0-9]+", name) if w and not re.fullmatch(r"[0-9x]+", w)]
+        if not _CUT_NAME.isdisjoint(words) and all(w in _CUT_NAME or w in _BESIDE for w in words):
+            return True
+    return False
+
+
 def _is_cut(tag: str, attrs: str, stack: list[_Node]) -> bool:
-    if tag in _CUT or tag == "header" and not any(n.tag == "article" for n in stack):
+    if tag in _CUT or tag == "header" and not any(n.tag in ("article", "main") for n in stack):
         return True
     if tag in ("html", "body", "article", "main") or "=" not in attrs and "hidden" not in attrs:
         return False
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and not _CUT_NAME.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+        if name in ("class", "id") and _names_clutter(value):
             return True
         if name == "role" and value in _CUT_ROLE or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -121,10 +139,8 @@ def _blocks(page: str) -> list[tuple[_Node, str, int]]:
                 pop(k)
             elif stack[k].tag in _FENCE:
                 break
-        if len(stack) > _DEEPEST:
-            continue
         seen.add(tag)
-        stack.append(_Node(tag, stack[-1], stack[-1].cut or _is_cut(tag, m["attrs"] or "", stack)))
+        stack.append(_Node(tag, stack[min(len(stack) - 1, _DEEPEST)], stack[-1].cut or _is_cut(tag, m["attrs"] or "", stack)))
     if not stack[-1].cut:
         words.append(page[at:])
     flush()
@@ -153,18 +169,22 @@ def main_text(page: str | None) -> str:
     for n in nodes.values():
         if n.parent is best.parent and n is not best and n.size:
             share = n.links / n.size
-            if n.score() >= least or n.tag == "p" and share < 0.25 and n.size >= 80 or n.tag == "h1" and not share:
+            if n.score() >= least or n.tag == "p" and share < 0.25 and n.size >= 80 or n.tag == "h1" and not share or n.tag == "article" and share < 0.5:
                 kept.add(id(n))
+    # below the best container's parent: the path down to each block, from the sibling that holds it
+    paths = []
+    for node, _, _ in blocks:
+        path = list(node.up())
+        at = next((k for k, n in enumerate(path) if n is best.parent), None) if best.parent else len(path)
+        paths.append(None if at is None else path[:at][::-1])
+    sure = [bool(p) and id(p[0]) in kept for p in paths]
+    first, last = sure.index(True), len(sure) - 1 - sure[::-1].index(True)
     out = []
-    for node, text, _ in blocks:
-        path = []
-        for n in node.up():
-            if id(n) in kept:
-                break
-            path.append(n)
-        else:
-            continue
-        if not any(n.tag in _LISTS and n.links > 0.5 * n.size for n in path):
+    for i, ((_, text, _), path) in enumerate(zip(blocks, paths, strict=True)):
+        # what stands between kept siblings is kept unless it is mostly links
+        between = path is not None and first < i < last and (not path or path[0].links <= 0.5 * path[0].size)
+        menu = best.tag != "article" and any(n.tag in _LISTS and n.links > 0.5 * n.size for n in (path or [])[1:])
+        if (sure[i] or between) and not menu:
             out.append(text)
     return " ".join(out)
 
@@ -180,7 +200,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     schema = picked.drop("__html").schema.add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(h) for h in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 

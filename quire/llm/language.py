@@ -8,19 +8,20 @@ with the logarithm of the document's length. The prediction is the set's largest
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.llm.quality import held_out
+from quire.llm.shared import slices
 
 BUCKETS_LOG2 = 15
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"\p{L}")
 PIECE = 1 << 20
 
 
@@ -58,26 +59,29 @@ def detect(text: str | None, languages: list[str], p: np.ndarray, penalty: float
         return "und", 0.0, []
     p, c = p[at], counts[at].astype(float)
     w, _ = mixture(p, c, 8)
-    order = [i for i in np.argsort(-w, kind="stable") if w[i] >= 0.02]
+    order = list(np.argsort(-w, kind="stable"))
     chosen, best = order[:1], float(c @ np.log(p[:, order[0]]))
     share = np.array([1.0])
     for i in order[1:]:
         trial, ll = mixture(p[:, [*chosen, i]], c, 20)
-        if ll - best <= penalty * np.log1p(c.sum()):
-            break
-        chosen, best, share = [*chosen, i], ll, trial
+        if ll - best > penalty * np.log1p(c.sum()):  # the penalty alone decides; a language that fails stops no other
+            chosen, best, share = [*chosen, i], ll, trial
     top = int(np.argmax(share))
     ranked = [languages[chosen[i]] for i in np.argsort(-share, kind="stable")]
     return languages[chosen[top]], float(min(1.0, max(0.0, w[chosen[top]] if len(chosen) == 1 else share[top]))), ranked
 
 
-def fit_languages(docs: DataFrame, per_language: int = 1500, smoothing: float = 0.2) -> tuple[list[str], np.ndarray]:
+def fit_languages(docs: DataFrame, per_language: int = 1000, smoothing: float = 0.2, parts: int = 64) -> tuple[list[str], np.ndarray]:
     """Languages in order and their n-gram distributions (buckets x languages), from at most ``per_language``
     documents a language outside the held-out fold, chosen by a hash of the id. Null and blank languages and
     null texts are not learned from. The counts add up in Spark; the driver gets buckets x languages numbers."""
     known = docs.where("lang IS NOT NULL AND trim(lang) <> '' AND doc_id IS NOT NULL").where(~held_out(folds=4, fold=2))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
+    # the smallest hashes of each language: of parts of a language first, so that no task sorts a whole one
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))
+    chosen = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts)))
+    for by in (("lang", "part"), ("lang",)):
+        chosen = chosen.withColumn("rank", rank(*by)).where(F.col("rank") <= per_language)
+    chosen = chosen.select("doc_id", "lang").distinct()
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])  # per_language rows of 12 bytes a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +112,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, p = shared.value
         for batch in batches:
-            got = [detect(t, languages, p, penalty) for t in batch.column(1).to_pylist()]
+            got = [detect(t, languages, p, penalty) for part in slices(iter([batch])) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.list_(pa.string()))],
                 ["doc_id", "lang_pred", "score", "langs"],

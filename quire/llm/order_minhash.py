@@ -92,7 +92,7 @@ def with_next(docs: DataFrame, blocks: int, id_col: str = "doc_id", text_col: st
         base = base.withColumn("block", F.aggregate(steps, F.lit(0), lambda p, s: F.when(inside(p + s), p + s).otherwise(p)))
     else:
         base = base.withColumn("block", F.lit(0))
-    tops = base.groupBy("block").agg(F.max(F.struct("rank", (-F.hash("h")).alias("o"), "h")).alias("top"))  # a row a block
+    tops = base.groupBy("block").agg(F.max(F.struct("rank", F.bitwise_not(F.hash("h")).alias("o"), "h")).alias("top"))  # a row a block
     w = Window.orderBy("block")  # over at most ``blocks`` rows
     tops = tops.select(F.col("top.rank").alias("rank"), F.col("top.h").alias("h"), F.lead("block").over(w).alias("to"), F.min("block").over(w).alias("least"))
     # the first document of all goes behind the last range, as the next of the last document

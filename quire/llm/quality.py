@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.shared import slices
+
 BUCKETS_LOG2, DIM = 17, 16
 _MUL = np.random.default_rng(31).integers(0, 2**31, 64, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 PIECE = 1 << 20
@@ -141,7 +143,7 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3,
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_texts(batch.column(1).to_pylist(), shared.value))], ["doc_id", "score"])
 
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -153,7 +155,7 @@ def keep_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(score_texts(batch.column(at).to_pylist(), shared.value) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
