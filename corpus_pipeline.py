@@ -16,32 +16,59 @@ from quire.llm.shared import Scratch
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.3 or more; the model learns from ``labels`` on these documents."""
+    """Documents that score 0.3 or more; the model learns from ``labels`` on these documents.
+
+    A row is judged where it stands, so null ids, repeated rows and columns of any name pass through; null
+    and empty texts get the model's prior.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_quality(docs, quality.fit_quality(docs, labels))
 
 
 def fuzzy_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that stand elsewhere before; documents of which nothing is left go."""
-    lined = line_dedup.dedup_lines(docs).where("lines_kept > 0 OR lines = 0")
-    columns = [F.char_length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return lined.select(*columns)
+    """Texts without the lines that stand elsewhere before; documents of which nothing is left go.
+
+    ``n_chars`` follows the text; rows that agree in id and text, null and blank texts stay, see
+    ``line_dedup.dedup_lines``. Columns of any name pass through.
+    """
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")))
+    lined = line_dedup.dedup_lines(docs.select("doc_id", "text", rest.alias("rest"))).where("lines_kept > 0 OR lines = 0")
+    count = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return lined.select(*(F.col(c) if c in ("doc_id", "text") else count.alias(c) if c == "n_chars" else F.col(f"rest.`{c}`") for c in docs.columns))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: five words to a shingle, similarity 0.8 or more. Rows without an id stay."""
-    gone = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    """One document of each group: five words to a shingle, similarity 0.8 or more.
+
+    The row with the smallest id stays. Rows that repeat an id are judged by their own texts; of rows that
+    agree in id and text one stays. Rows without an id all stay, and so do empty and null texts.
+    """
+    gone = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id", "text_hash").distinct()
+    row = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    row = row.withColumn("apart", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    kept = row.join(gone, ["doc_id", "text_hash"], "left_anti").dropDuplicates(["doc_id", "text_hash", "apart"])
+    return kept.select("row.*")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in an order in which every source keeps to its target share for as long as it lasts."""
-    return mixing.mix(docs, MIX_WEIGHTS).orderBy("mix_slot", "mix_place").select(docs.columns)
+    """The documents in an order in which every source keeps to its target share for as long as it lasts.
+
+    All rows stay, see ``mixing.mix``. The files and the rows in them are in the mixture's order.
+    """
+    return mixing.in_order(docs, MIX_WEIGHTS).select(docs.columns)
 
 
 def cost_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the token sequences, packed among neighbours in the mixture."""
-    return packing.pack(docs, tokenizer_path())
+    """Pieces of the token sequences, packed among neighbours in the mixture and numbered in its order.
+
+    The order is that of the files that the stage before wrote, and of the rows in them. Null texts are
+    their end id alone; every row is packed, repeated ones too, see ``packing.pack``.
+    """
+    order = F.struct("_metadata.file_name", "_metadata.row_index")
+    rows = docs.select("doc_id", "text", order.alias("place"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(parts, "place").sortWithinPartitions("place")
+    return packing.pack(rows, tokenizer_path())
 
 
 STAGES = [
