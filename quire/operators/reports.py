@@ -12,6 +12,15 @@ def first_quoted(line: Column) -> Column:
     return F.when(line.rlike('"[^"]*"'), F.regexp_extract(line, '"([^"]*)"', 1))
 
 
+def percent_text(value: Column) -> Column:
+    """A number with one decimal and a percent sign; values half-way go to the even digit."""
+    return F.concat(F.format_string("%.1f", F.bround(value, 1)), F.lit("%"))
+
+
+def iso_text(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def parsed(log: DataFrame) -> DataFrame:
     """``run_id, line_no, name, suite, status, message`` of each test, from ``log`` (run_id, line_no, line).
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as g
 from quire.operators import raster, relations
-from quire.operators.captures import per_capture
 
 
 def text_pixels(text: g.Rect, width: Column, height: Column) -> dict[str, Column]:
@@ -50,10 +53,14 @@ def overlay_evidence(pairs: DataFrame, pixels: DataFrame, page: DataFrame, off:
 
 
 def overlay_class(inside_share: Column, above: Column, below: Column, coherence: Column, near: Column, edge: Column) -> Column:
-    """overlay, edgeOverlay, pageText or uncertain from the evidence; a text that is hardly on the figure is page text."""
+    """overlay, edgeOverlay, pageText or uncertain from the evidence; a text that is hardly on the figure is page text.
+
+    A text without evidence (no column to sample) is uncertain.
+    """
     strong = (F.when(edge == "bottom", above).when(edge == "top", below).otherwise(F.greatest(above, below))) >= 0.5
     return (
         F.when(inside_share.isNull() | (inside_share <= 0.3), "pageText")
+        .when(above.isNull() | below.isNull() | coherence.isNull(), "uncertain")
         .when((above >= 0.5) & (below >= 0.5), "overlay")
         .when((near < 0.20) & (coherence > 0.4) & strong, "edgeOverlay")
         .when((above < 0.3) & (below < 0.3) & (coherence < 0.3), "pageText")
@@ -69,7 +76,7 @@ def classified_overlays(figures: DataFrame, texts: DataFrame, pixels: DataFrame)
     found = overlay_evidence(met.where(F.round(g.share_inside(b, a), 9) > 0.3), pixels, raster.background(pixels))
     d = met.join(found, ["capture_id", "block_id", "fig_idx"], "left")
     near = g.edge_proximity(a, b)
-    return d.select("capture_id", "block_id", "fig_idx", overlay_class(F.round(g.share_inside(b, a), 9), F.coalesce("above", F.lit(0.0)), F.coalesce("below", F.lit(0.0)), F.coalesce("coherence", F.lit(0.0)), F.round(near["near"], 9), near["edge"]).alias("class"))
+    return d.select("capture_id", "block_id", "fig_idx", overlay_class(F.round(g.share_inside(b, a), 9), F.col("above"), F.col("below"), F.col("coherence"), F.round(near["near"], 9), near["edge"]).alias("class"))
 
 
 def for_trimming(classes: DataFrame) -> DataFrame:
@@ -197,50 +204,67 @@ def fragments(mask: DataFrame, boxes: DataFrame, least: int = 20) -> DataFrame:
     return out.select("capture_id", F.coalesce("fragments", F.lit(0)).cast("long").alias("fragments"), F.coalesce("m.n", F.lit(0)).cast("long").alias("largest"), F.coalesce("m.compactness", F.lit(0.0)).alias("compactness"))
 
 
-def grown_regions(seeds: DataFrame, texts: DataFrame, pixels: DataFrame, step: float = 0.02, samples: int = 20, blank: float = 0.60, off: float = 60.0) -> DataFrame:
-    """Seeds grown side by side in small steps until text or two background strips in a row stop each side."""
-    bg = raster.background(pixels).select("capture_id", F.struct("r", "g", "b").alias("bg"))
-    image = pixels.groupBy("capture_id").agg(F.first("width").alias("width"), F.first("height").alias("height"), F.array_sort(F.collect_list(F.struct("py", "px", "r", "g", "b"))).alias("image"))
-    t = texts.groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("x", "y", "w", "h"))).alias("texts"))
-    d = seeds.join(image, "capture_id").join(bg, "capture_id").join(t, "capture_id", "left")
+def _advance(image: np.ndarray, boxes: np.ndarray, background: np.ndarray, start: int, low: int, high: int, step: int, from_top: np.ndarray, across: np.ndarray, off: float, blank: float) -> int:
+    """How far a region's lower edge moves down from row ``start`` over the columns ``low`` to ``high``.
 
-    def kernel(rows: list[dict]) -> list[tuple]:
-        out = []
-        for r in rows:
-            x1, y1, x2, y2 = r["x"], r["y"], r["x"] + r["w"], r["y"] + r["h"]
-            w, h, bg = r["width"], r["height"], r["bg"]
-            boxes = [(q["x"], q["y"], q["x"] + q["w"], q["y"] + q["h"]) for q in r["texts"] or []]
-
-            def blank_strip(a1, b1, a2, b2, r=r, w=w, h=h, bg=bg):
-                hits = 0
-                for k in range(samples):
-                    f = (k + 0.5) / samples
-                    px = min(w - 1, max(0, int((a1 + (a2 - a1) * f) * w)))
-                    py = min(h - 1, max(0, int((1 - (b1 + (b2 - b1) * f)) * h)))
-                    p = r["image"][py * w + px]
-                    hits += abs(p["r"] - bg["r"]) + abs(p["g"] - bg["g"]) + abs(p["b"] - bg["b"]) <= off
-                return hits / samples >= blank
-
-            for side in ("top", "bottom", "left", "right"):
-                empty = 0
-                while True:
-                    n = {"top": (x1, y1, x2, min(1.0, y2 + step)), "bottom": (x1, max(0.0, y1 - step), x2, y2), "left": (max(0.0, x1 - step), y1, x2, y2), "right": (x1, y1, min(1.0, x2 + step), y2)}[side]
-                    if n == (x1, y1, x2, y2) or any(min(n[2], b[2]) > max(n[0], b[0]) and min(n[3], b[3]) > max(n[1], b[1]) and not (min(x2, b[2]) > max(x1, b[0]) and min(y2, b[3]) > max(y1, b[1])) for b in boxes):
-                        break
-                    strip = {"top": (x1, n[3], x2, n[3]), "bottom": (x1, n[1], x2, n[1]), "left": (n[0], y1, n[0], y2), "right": (n[2], y1, n[2], y2)}[side]
-                    empty = empty + 1 if blank_strip(*strip) else 0
-                    if empty == 2:
-                        break
-                    if not empty:
-                        x1, y1, x2, y2 = n
-                    else:
-                        pending = n
-                        strip2 = {"top": (x1, min(1.0, pending[3] + step), x2, min(1.0, pending[3] + step)), "bottom": (x1, max(0.0, pending[1] - step), x2, max(0.0, pending[1] - step)), "left": (max(0.0, pending[0] - step), y1, max(0.0, pending[0] - step), y2), "right": (min(1.0, pending[2] + step), y1, min(1.0, pending[2] + step), y2)}[side]
-                        if blank_strip(*strip2):
-                            break
-                        x1, y1, x2, y2 = pending
-                        empty = 0
-            out.append((r["cand_id"], round(x1, 6), round(y1, 6), round(x2 - x1, 6), round(y2 - y1, 6)))
-        return out
-
-    return per_capture(d, ["cand_id"], ["x", "y", "w", "h", "width", "height", "image", "bg", "texts"], kernel, "cand_id long, x double, y double, w double, h double")
+    ``from_top`` and ``across`` have the normalized place of each row and column, ``boxes`` the texts in the
+    same sense (rows x1, y1, x2, y2, half open). The edge moves in steps; before a strip with text, or the
+    second background strip in a row, it stops.
+    """
+    steps = (len(image) - start) // step
+    rows = np.minimum(len(image) - 1, start + step * np.arange(1, steps + 1) - 1)
+    if not len(rows) or high <= low:
+        return start + step * len(rows)
+    strips = image[rows][:, low : high : max(1, (high - low) // 20)]
+    empty = (np.abs(strips - background).sum(axis=2) <= off).mean(axis=1) >= blank
+    x, y = across[low : high : max(1, (high - low) // 10)], from_top[rows]
+    on = (x[None, :, None] >= boxes[:, 0]) & (x[None, :, None] < boxes[:, 2]) & (y[:, None, None] >= boxes[:, 1]) & (y[:, None, None] < boxes[:, 3])
+    stop = on.any(axis=(1, 2)) | (empty & np.append(False, empty[:-1]))
+    return start + step * int(np.argmax(stop) if stop.any() else len(rows))
+
+
+def grow(image: np.ndarray, box: tuple[float, float, float, float], texts: np.ndarray, background: np.ndarray, step: float, blank: float, off: float) -> tuple[float, float, float, float]:
+    """A seed grown in whole pixels at the top, bottom, left and right in turn; boxes have a bottom-left origin."""
+    height, width = image.shape[:2]
+    if min(width, height) <= 10:
+        return box
+    x, y, w, h = box
+    edge = lambda v, size, most: max(0, min(most, int(v * size)))
+    top, bottom = edge(1.0 - (y + h), height, height - 1), edge(1.0 - y, height, height)
+    left, right = edge(x, width, width - 1), edge(x + w, width, width)
+    down, right_of = 1.0 - np.arange(height) / height, np.arange(width) / width
+    sx, sy = max(1, int(step * width)), max(1, int(step * height))
+    move = lambda img, t, at, lo, hi, n, rows, cols: _advance(img, t, background, at, lo, hi, n, rows, cols, off, blank)
+    top = height - move(image[::-1], texts, height - top, left, right, sy, down[::-1], right_of)
+    bottom = move(image, texts, bottom, left, right, sy, down, right_of)
+    turned, sideways = image.transpose(1, 0, 2), texts[:, [1, 0, 3, 2]]
+    left = width - move(turned[::-1], sideways, width - left, top, bottom, sx, right_of[::-1], down)
+    right = move(turned, sideways, right, top, bottom, sx, right_of, down)
+    return left / width, 1.0 - bottom / height, (right - left) / width, (bottom - top) / height
+
+
+def grown_regions(seeds: DataFrame, texts: DataFrame, pixels: DataFrame, step: float = 0.02, blank: float = 0.60, off: float = 60.0) -> DataFrame:
+    """``capture_id, cand_id`` and each seed's box grown until text or background stops each side; see ``grow``.
+
+    A strip is background where ``blank`` of about 20 of its pixels are within ``off`` of the page's colour.
+    Images pass as arrays of numbers, one a capture; images of ten pixels or less leave the seed as it is.
+    """
+    bg = raster.background(pixels).select("capture_id", F.array("r", "g", "b").alias("bg"))
+    image = pixels.groupBy("capture_id").agg(F.first("width").alias("width"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("py", "px", "r", "g", "b"))), lambda p: F.array(p["r"], p["g"], p["b"]))).alias("image"))
+    r = g.rect()
+    t = texts.groupBy("capture_id").agg(F.flatten(F.collect_list(F.array(r.x, r.y, r.x2, r.y2))).alias("texts"))
+    d = seeds.join(image, "capture_id").join(bg, "capture_id").join(t, "capture_id", "left")
+    d = d.select("capture_id", "cand_id", *(F.col(k).cast("double").alias(k) for k in "xywh"), "width", F.col("image").cast("array<long>").alias("image"), "bg", F.coalesce("texts", F.array().cast("array<double>")).alias("texts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = lambda name, i: np.asarray(batch[name][i].values)  # noqa: B023, E731
+            found = []
+            for i in range(batch.num_rows):
+                img = numbers("image", i).reshape(-1, batch["width"][i].as_py(), 3)
+                box = tuple(batch[k][i].as_py() for k in "xywh")
+                found.append([round(v, 6) for v in grow(img, box, numbers("texts", i).reshape(-1, 4), numbers("bg", i), step, blank, off)])
+            columns = np.array(found, np.float64).reshape(-1, 4).T
+            yield pa.RecordBatch.from_arrays([batch["capture_id"], batch["cand_id"], *(pa.array(c) for c in columns)], ["capture_id", "cand_id", "x", "y", "w", "h"])
+
+    return d.mapInArrow(run, "capture_id long, cand_id long, x double, y double, w double, h double")

@@ -7,7 +7,8 @@ from pyspark.sql.window import Window
 
 from quire.functions import geometry as g
 from quire.operators import captures, reading, regions, relations, screens
-from quire.plans.geometry_queries import BOTH, INTER, KEY, OX, blocks, figures, one_figure
+from quire.plans import fold_sql
+from quire.plans.geometry_queries import BOTH, KEY, OX, REL, blocks, figures, one_figure
 from quire.plans.registry import query
 from quire.sources import layouts as L
 from quire.sources.layouts import with_sql
@@ -114,12 +115,12 @@ def candidates(spark, d):
 CAND_SQL = ", cand AS (SELECT capture_id, block_id AS cand_id, x, y, w, h*6 AS h, CASE WHEN class_id=1 THEN 'saliency' ELSE 'ocrGap' END AS source, round(confidence,6) AS confidence, class_id FROM tb) "
 
 
-@query("a4_merge_overlapping")
+@query("a4_merge_overlapping", fold_sql.merged(CAND_SQL, fold_sql.LIKE))
 def merge_overlapping(spark, d):
     return regions.merged(candidates(spark, d), regions.like_enough())
 
 
-@query("a5_merge_side_by_side")
+@query("a5_merge_side_by_side", fold_sql.merged(CAND_SQL, fold_sql.BESIDE))
 def merge_side_by_side(spark, d):
     return regions.merged(candidates(spark, d), regions.side_by_side())
 
@@ -142,36 +143,14 @@ def class_aware_nms(spark, d):
     return regions.suppressed(candidates(spark, d).withColumnRenamed("cand_id", "det_id"), 0.2).select("capture_id", "det_id", "class_id", "confidence")
 
 
-@query("a8_trim_text")
+@query("a8_trim_text", fold_sql.TRIMMED)
 def trim_text(spark, d):
     return regions.trimmed(one_figure(spark, d, "cand_id"), blocks(spark, d))
 
 
-@query("a9_best_cut", with_sql("fig tb", f""", both_ AS ({BOTH}), ov AS (SELECT capture_id, sum({INTER}) AS s FROM both_ GROUP BY 1),
-c AS (SELECT b.*, greatest(by_,ay) AS lo, least(by_+bh,ay+ah) AS hi, s FROM both_ b JOIN ov USING (capture_id) WHERE {INTER}>0.0001),
-k AS (SELECT capture_id, block_id, 0 AS o, ax, aw, ay, ah, hi AS ny, ay+ah-hi AS nh, s FROM c WHERE lo-ay<ah*0.35 UNION ALL SELECT capture_id, block_id, 1, ax, aw, ay, ah, ay, lo-ay, s FROM c WHERE ay+ah-hi<ah*0.35),
-v AS (SELECT *, row_number() OVER () AS id FROM k WHERE nh>0 AND nh>=ah*0.4 AND aw*nh>=0.03),
-t2 AS (SELECT v.id, sum(greatest(0,least(ax+aw,t.x+t.w)-greatest(ax,t.x))*greatest(0,least(ny+nh,t.y+t.h)-greatest(ny,t.y))) AS s2 FROM v JOIN tb t USING (capture_id) GROUP BY 1),
-sc AS (SELECT v.*, round(least(1,s/(aw*ah))-least(1,s2/(aw*nh)),9) AS red, nh/ah AS kept FROM v JOIN t2 USING (id)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY round(red*kept+kept*0.1,9) DESC, block_id, o) AS rn FROM sc WHERE red>0) SELECT capture_id, ax AS x, round(ny,6) AS y, aw AS w, round(nh,6) AS h FROM rk WHERE rn=1"""))
+@query("a9_best_cut", fold_sql.CUTS)
 def best_cut(spark, d):
-    """The best single cut from below or above, as joins: cuts proposed by texts near an edge, scored against all texts."""
-    a, b, n = g.rect("a"), g.rect("b"), g.rect("n")
-    fig = relations.text_overlap(one_figure(spark, d, "cand_id"), blocks(spark, d))
-    met = relations.pairs(fig, blocks(spark, d), ["text_overlap"], ["block_id"]).where(g.shared_area(a, b) > 0.0001)
-    low, high = F.greatest(a.y, b.y), F.least(a.y2, b.y2)
-    cut = lambda ok, o, y, h: F.when(ok, F.struct(F.lit(o).alias("o"), y.alias("y"), h.alias("h")))
-    cuts = met.select("capture_id", "block_id", "text_overlap", *a.named("a"), F.explode(F.array(cut(low - a.y < a.h * 0.35, 0, high, a.y2 - high), cut(a.y2 - high < a.h * 0.35, 1, a.y, low - a.y))).alias("c"))
-    cuts = cuts.where("c IS NOT NULL").select("*", F.col("c.o").alias("o"), F.col("ax").alias("nx"), F.col("c.y").alias("ny"), F.col("aw").alias("nw"), F.col("c.h").alias("nh")).drop("c")
-    cuts = cuts.where((n.h > 0) & (n.h >= a.h * 0.4) & (n.area >= 0.03))
-    keys = ["capture_id", "block_id", "o"]
-    texts = blocks(spark, d).select("capture_id", *(F.col(k).alias(f"b{k}") for k in "xywh"))
-    after = cuts.join(texts, "capture_id").groupBy(*keys).agg(F.least(F.lit(1.0), F.sum(g.shared_area(n, b)) / F.first(n.area)).alias("after"))
-    scored = cuts.join(after, keys).withColumn("reduced", F.round(F.col("text_overlap") - F.col("after"), 9)).where("reduced > 0")
-    kept = n.h / a.h
-    score = F.round(F.col("reduced") * kept + kept * 0.1, 9)
-    best = scored.groupBy("capture_id").agg(F.min(F.struct((-score).alias("s"), "block_id", "o", "ax", "ny", "aw", "nh")).alias("m"))
-    return best.select("capture_id", F.col("m.ax").alias("x"), F.round("m.ny", 6).alias("y"), F.col("m.aw").alias("w"), F.round("m.nh", 6).alias("h"))
+    return regions.best_cuts(one_figure(spark, d, "cand_id"), blocks(spark, d))
 
 
 # ---- relations between tables
@@ -203,21 +182,46 @@ def evidence_boost(spark, d):
     return out.select("capture_id", "cand_id", F.round("confidence", 6).alias("confidence"), F.array_join("evidence", ",").alias("evidence"))
 
 
-@query("g15_expand_to_subjects")
+SUBJECTS = ", sub AS (SELECT * FROM tb WHERE class_id=1), oth AS (SELECT * FROM tb WHERE class_id=0) "
+G15 = f"""{SUBJECTS}, hull AS (SELECT f.capture_id, min(s.x) AS x1, min(s.y) AS y1, max(s.x+s.w) AS x2, max(s.y+s.h) AS y2 FROM fig f JOIN sub s USING (capture_id) WHERE round({SHARED.format(a='f', b='s')}/(s.w*s.h),9)>0.2 GROUP BY 1),
+un AS (SELECT f.capture_id, f.x AS ox, f.y AS oy, f.w AS ow, f.h AS oh, least(f.x,x1) AS ux, least(f.y,y1) AS uy, greatest(f.x+f.w,x1+(x2-x1))-least(f.x,x1) AS uw, greatest(f.y+f.h,y1+(y2-y1))-least(f.y,y1) AS uh FROM fig f JOIN hull USING (capture_id)),
+gr AS (SELECT capture_id, ox, oy, ow, oh, greatest(0,ux) AS ax, greatest(0,uy) AS ay, least(1-greatest(0,ux),uw) AS aw, least(1-greatest(0,uy),uh) AS ah FROM un),
+bo AS (SELECT gr.capture_id, ax, ay, aw, ah, t.x AS bx, t.y AS by_, t.w AS bw, t.h AS bh FROM gr JOIN oth t USING (capture_id)), rl AS (SELECT capture_id, {REL} AS relation FROM bo),
+bl AS (SELECT capture_id, bool_or(relation='adjacentAbove') AS st, bool_or(relation='adjacentBelow') AS sb, bool_or(relation='adjacentLeft') AS sl, bool_or(relation='adjacentRight') AS sr FROM rl GROUP BY 1),
+co AS (SELECT gr.capture_id, CASE WHEN sb THEN greatest(ay,oy-oh*0.30) ELSE ay END AS ly, CASE WHEN st THEN least(ay+ah,oy+oh+oh*0.30) ELSE ay+ah END AS hy, CASE WHEN sl THEN greatest(ax,ox-ow*0.30) ELSE ax END AS lx, CASE WHEN sr THEN least(ax+aw,ox+ow+ow*0.30) ELSE ax+aw END AS hx FROM gr LEFT JOIN bl USING (capture_id))
+SELECT f.capture_id, round(coalesce(lx,f.x),6) AS x, round(coalesce(ly,f.y),6) AS y, round(coalesce(hx-lx,f.w),6) AS w, round(coalesce(hy-ly,f.h),6) AS h FROM fig f LEFT JOIN co USING (capture_id)"""
+
+
+def _pull(t: str, relation: str, stop: str, box: str) -> str:
+    """One side of a promoted subject pulled back to the nearest text there."""
+    return f"(WITH bo AS (SELECT f.capture_id, f.x AS ax, f.y AS ay, f.w AS aw, f.h AS ah, t.x AS bx, t.y AS by_, t.w AS bw, t.h AS bh FROM {t} f JOIN tb t USING (capture_id)), st AS (SELECT capture_id, {stop} AS s FROM bo WHERE {REL}='{relation}' GROUP BY 1) SELECT f.capture_id, {box} FROM {t} f LEFT JOIN st USING (capture_id))"
+
+
+G16 = (
+    ", p0 AS (SELECT capture_id, greatest(0,x-w*0.2) AS x, greatest(0,y-h*0.2) AS y, least(1,x+w+w*0.2)-greatest(0,x-w*0.2) AS w, least(1,y+h+h*0.2)-greatest(0,y-h*0.2) AS h FROM fig), p1 AS "
+    + _pull("p0", "adjacentRight", "min(bx)", "x, y, CASE WHEN s IS NULL THEN w ELSE s-x END AS w, h") + ", p2 AS "
+    + _pull("p1", "adjacentLeft", "max(bx+bw)", "CASE WHEN s IS NULL THEN x ELSE s END AS x, y, CASE WHEN s IS NULL THEN w ELSE x+w-s END AS w, h") + ", p3 AS "
+    + _pull("p2", "adjacentAbove", "min(by_)", "x, y, w, CASE WHEN s IS NULL THEN h ELSE s-y END AS h") + ", p4 AS "
+    + _pull("p3", "adjacentBelow", "max(by_+bh)", "x, CASE WHEN s IS NULL THEN y ELSE s END AS y, w, CASE WHEN s IS NULL THEN h ELSE y+h-s END AS h")
+    + " SELECT capture_id, round(x,6) AS x, round(y,6) AS y, round(w,6) AS w, round(h,6) AS h FROM p4"
+)
+
+
+@query("g15_expand_to_subjects", with_sql("fig tb", G15))
 def expand_to_subjects(spark, d):
     subjects = blocks(spark, d).where("class_id = 1").withColumnRenamed("block_id", "subj_id")
     return relations.with_subjects(one_figure(spark, d, "fig_idx"), subjects, blocks(spark, d).where("class_id = 0")).select("capture_id", *(F.round(k, 6).alias(k) for k in "xywh"))
 
 
-@query("g16_promoted_subjects")
+@query("g16_promoted_subjects", with_sql("fig tb", G16))
 def promoted_subjects(spark, d):
     return relations.promoted(one_figure(spark, d, "subj_id"), blocks(spark, d)).select("capture_id", *(F.round(k, 6).alias(k) for k in "xywh"))
 
 
-@query("g32_flow_layout")
+@query("g32_flow_layout", fold_sql.FLOW)
 def flow_layout(spark, d):
     """Words of all lines of each document wrapped greedily into lines of 600 units, eight units a character."""
-    words = reading.line_words(L.document_blocks(L.table(spark, d, "documents"), None))
+    words = reading.line_words(doc_blocks(spark, d))
     order = Window.partitionBy("capture_id").orderBy("block_id", "word_no")
     words = words.withColumn("word_no", (F.row_number().over(order) - 1).cast("long"))
     return captures.flow_lines(words, "word", "word_no", 600.0, 8.0, 4.0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions import geometry as g
 from quire.operators import raster, relations, scoring
 from quire.plans.geometry_queries import BOTH, INTER, both
+from quire.plans import raster_sql as R
 from quire.plans.registry import query
 from quire.sources import layouts as L
 from quire.sources.layouts import with_sql
@@ -107,12 +108,12 @@ def strip_deviation(spark, d):
     return named(True, "column").unionByName(named(False, "row"))
 
 
-@query("r7_tighten_by_variance")
+@query("r7_tighten_by_variance", with_sql("pix", R.tighten(DEV)))
 def tighten(spark, d):
     return raster.tightened(raster.resized(pixels(spark, d), 32, 32))
 
 
-@query("r8_auto_crop")
+@query("r8_auto_crop", with_sql("pix", R.auto_crop()))
 def auto_crop(spark, d):
     light = raster.resized(pixels(spark, d), 24, 24).withColumns({c: F.when((F.col("px") < 4) | (F.col("py") > 19), F.lit(250)).otherwise(F.col(c)).cast("long") for c in "rgb"})
     return raster.auto_cropped(light)
@@ -123,7 +124,7 @@ def saturation_mask(spark, d):
     return raster.saturated(pixels(spark, d)).select("capture_id", "px", "py")
 
 
-@query("a10_content_regions")
+@query("a10_content_regions", "WITH RECURSIVE " + with_sql("pix", TXT + CELLS + R.CONTENT + R.CONTENT_REGIONS + "SELECT * FROM creg")[5:])
 def content_regions(spark, d):
     return raster.content_regions(cells(spark, d), 8)
 
@@ -136,25 +137,26 @@ def pixel_components(spark, d):
     return raster.pixel_components(pixels(spark, d).where("r > 125"), 4).select("capture_id", F.array_min("members").alias("first_pixel"), "x", "y", "w", "h", "n")
 
 
-@query("a12_fragments")
+@query("a12_fragments", "WITH RECURSIVE " + with_sql("pix", TXT + R.FRAGMENTS)[5:])
 def fragments(spark, d):
     return scoring.fragments(pixels(spark, d).where("r > 125"), pixel_boxes(spark, d), 3)
 
 
-@query("r9_component_stats")
+@query("r9_component_stats", "WITH RECURSIVE " + with_sql("pix", R.STATS)[5:])
 def component_stats(spark, d):
     p = pixels(spark, d)
     return raster.component_stats(raster.pixel_components(p.where("r > 125"), 4), p).drop("members")
 
 
-@query("r11_anchor_colour")
+@query("r11_anchor_colour", with_sql("pix", TXT + R.anchor_colour(0.5, 0.9, 60, 120) + "SELECT * FROM near"))
 def anchor_colour(spark, d):
     return scoring.anchor_colour(changed(spark, d), pixels(spark, d), texts(spark, d), wide=0.9, colour=60, flat=120).select("capture_id", "px", "py")
 
 
-@query("r12_evidence_mask")
+@query("r12_evidence_mask", with_sql("pix", TXT + R.anchor_colour(0.375, 0.45, 44, 26) + f"SELECT * FROM near UNION {R.SATURATED}"))
 def evidence_mask(spark, d):
-    return scoring.evidence_mask(pixels(spark, d), changed(spark, d), texts(spark, d)).select("capture_id", "px", "py")
+    narrow = texts(spark, d).withColumn("w", F.lit(0.375))  # wider anchors are skipped
+    return scoring.evidence_mask(pixels(spark, d), changed(spark, d), narrow).select("capture_id", "px", "py")
 
 
 @query("r13_region_variance", with_sql("pix", TXT + f"SELECT capture_id, round(({VARS})/3,6) AS variance FROM pix JOIN pb USING (capture_id) WHERE px>=x AND px<x+w AND py>=y AND py<y+h GROUP BY 1"))
@@ -167,10 +169,10 @@ def deviation_outside_text(spark, d):
     return raster.deviation_outside_text(pixels(spark, d), texts(spark, d))
 
 
-@query("r15_region_growing")
+@query("r15_region_growing", "WITH RECURSIVE " + with_sql("pix", TXT + R.GROWN)[5:])
 def region_growing(spark, d):
     seed = regions(spark, d).withColumns({"x": F.col("x") + 0.2, "y": F.col("y") + 0.2, "w": F.lit(0.1), "h": F.lit(0.1)})
-    return scoring.grown_regions(seed, texts(spark, d), pixels(spark, d))
+    return scoring.grown_regions(seed, texts(spark, d), big(spark, d))
 
 
 @query("r16_text_mask", with_sql("pix", TXT + "SELECT p.capture_id, px, py FROM pix p JOIN txt USING (capture_id) WHERE px>=greatest(0,floor(x*8-1.5)) AND px<least(8,ceil((x+w)*8+1.5)) AND py>=greatest(0,floor((1-y-h)*8-1.5)) AND py<least(8,ceil((1-y)*8+1.5))"))
@@ -214,9 +216,10 @@ def composite(spark, d):
     return raster.composite(pixels(spark, d), raster.cropped(changed(spark, d), b), b).drop("width", "height")
 
 
-@query("r21_tensor")
+@query("r21_tensor", with_sql("pix", R.TENSOR))
 def tensor(spark, d):
-    return raster.tensor(pixels(spark, d), 10)
+    t = raster.tensor(pixels(spark, d), 10).select("capture_id", F.posexplode("data").alias("spot", "v"))
+    return t.select("capture_id", F.col("spot").cast("long").alias("spot"), F.round(F.col("v").cast("double"), 6).alias("v"))
 
 
 @query("r22_ring_fill", with_sql("pix", "SELECT capture_id, px, py, CASE WHEN px BETWEEN 2 AND 5 AND py BETWEEN 3 AND 4 THEN fr ELSE r END AS r, CASE WHEN px BETWEEN 2 AND 5 AND py BETWEEN 3 AND 4 THEN fg ELSE g END AS g, CASE WHEN px BETWEEN 2 AND 5 AND py BETWEEN 3 AND 4 THEN fb ELSE b END AS b FROM pix JOIN (SELECT capture_id, (sum(r)//count(*))::BIGINT AS fr, (sum(g)//count(*))::BIGINT AS fg, (sum(b)//count(*))::BIGINT AS fb FROM pix WHERE NOT (px BETWEEN 2 AND 5 AND py BETWEEN 3 AND 4) GROUP BY 1) USING (capture_id)"))
@@ -237,12 +240,12 @@ def big(spark, d):
     return raster.resized(pixels(spark, d), 32, 32)
 
 
-@query("c1_overlay_class")
+@query("c1_overlay_class", with_sql("pix", TXT + R.OVERLAY + R.CLASSES))
 def overlay_class(spark, d):
     return scoring.classified_overlays(regions(spark, d).withColumnRenamed("cand_id", "fig_idx"), texts(spark, d), big(spark, d)).select("capture_id", "block_id", "class")
 
 
-@query("c2_c3_overlay_evidence")
+@query("c2_c3_overlay_evidence", with_sql("pix", TXT + R.OVERLAY + "SELECT capture_id, round(above,6) AS above, round(below,6) AS below, round(coherence,6) AS coherence FROM vt JOIN ch USING (capture_id)"))
 def overlay_evidence(spark, d):
     met = relations.pairs(regions(spark, d).withColumnRenamed("cand_id", "fig_idx"), texts(spark, d), ["fig_idx"], ["block_id"])
     p = big(spark, d)
@@ -283,12 +286,15 @@ def found_hypotheses(spark, d):
     return scoring.hypotheses(regions(spark, d), c, content, texts(spark, d), subjects, 8)
 
 
-@query("c7_hypotheses")
+HYP = "WITH RECURSIVE " + with_sql("pix", TXT + CELLS + R.CONTENT + R.CONTENT_REGIONS + R.HYPOTHESES)[5:]
+
+
+@query("c7_hypotheses", HYP + "SELECT capture_id, 0::BIGINT AS cand_id, strategy, x, y, w, h, score FROM hy")
 def hypotheses(spark, d):
     return found_hypotheses(spark, d).drop("ordinal")
 
 
-@query("c7_best_hypothesis")
+@query("c7_best_hypothesis", HYP + "SELECT capture_id, 0::BIGINT AS cand_id, strategy, x, y, w, h, score FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY score DESC, ordinal) AS rn FROM hy) WHERE rn=1")
 def best_hypothesis(spark, d):
     return scoring.best_hypothesis(found_hypotheses(spark, d))
 

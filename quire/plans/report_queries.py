@@ -115,10 +115,9 @@ def log_lines(spark, d):
     return log(spark, d).select(F.col("line_no").alias("event_id"), F.startswith(t, F.lit("✔")).alias("ok"), F.contains(t, F.lit('Test "')).alias("is_test"))
 
 
-@query("t9_formats", "SELECT event_id, printf('%.1f', event_id/8.0)||'%' AS percent, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events WHERE event_id%8 NOT IN (2,6)")
+@query("t9_formats", "SELECT event_id, printf('%.1f', event_id/8.0)||'%' AS percent, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events")
 def formats(spark, d):
-    e = L.table(spark, d, "events").where("event_id % 8 NOT IN (2, 6)")
-    return e.select("event_id", F.concat(F.format_string("%.1f", F.col("event_id") / 8.0), F.lit("%")).alias("percent"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"))
+    return L.table(spark, d, "events").select("event_id", reports.percent_text(F.col("event_id") / 8.0).alias("percent"), reports.iso_text(F.col("ts")).alias("iso"))
 
 
 @query("t5_status_text", "SELECT event_id, CASE event_type WHEN 'view' THEN 'No capture' WHEN 'click' THEN 'Capturing...' WHEN 'signup' THEN 'Captured '||user_id||'×'||event_id WHEN 'purchase' THEN 'Analyzed · '||user_id||' words · '||event_id||' figures' ELSE 'Error: '||event_id END AS status FROM events")

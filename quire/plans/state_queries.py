@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import overlays as O
+from quire.plans import fold_sql
 from quire.plans.geometry_queries import blocks, figures
+from quire.plans.page_queries import GROUP_SQL
 from quire.plans.registry import query
 from quire.sources import layouts as L
 from quire.sources.layouts import with_sql
@@ -43,12 +45,12 @@ def page_blocks(spark, d):
     return b.select("capture_id", "block_id", (F.col("block_id") * 0.1).alias("x"), (0.7 - F.col("block_id") * 0.15).alias("y"), F.lit(0.2).alias("w"), F.lit(0.1).alias("h"), F.concat(F.lit("b"), F.col("block_id").cast("string")).alias("text"))
 
 
-@query("o1_build_overlays")
+@query("o1_build_overlays", fold_sql.built(GROUP_SQL))
 def build(spark, d):
     b = blocks(spark, d).withColumn("text", F.concat(F.lit("b"), F.col("block_id").cast("string")))
     f = figures(spark, d).withColumn("fig_idx", F.lit(0).cast("long"))
     over = b.where("block_id % 3 = 0").select("capture_id", "block_id", F.lit(0).cast("long").alias("fig_idx"), F.when(F.col("class_id") == 1, "overlay").otherwise("edgeOverlay").alias("class"))
-    return O.build(b, f, over)
+    return O.build(b, f, over).withColumn("source_text_block_ids", F.array_join("source_text_block_ids", ","))
 
 
 @query("o2_selected_overlay", f"WITH {EV} SELECT capture_id, overlay_id FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY seq DESC) AS rn FROM ev WHERE op IN ('select','add','delete')) WHERE rn=1 AND op<>'delete'")
@@ -56,7 +58,7 @@ def selected(spark, d):
     return O.selected(events(spark, d))
 
 
-@query("o3_moved_overlays")
+@query("o3_moved_overlays", fold_sql.moved(SIMPLE, EV))
 def moved(spark, d):
     return O.moved(simple(spark, d), events(spark, d)).select("capture_id", "overlay_id", "x", "y", "w", "h")
 

@@ -35,11 +35,10 @@ def figures(orders: DataFrame) -> DataFrame:
     return _scaled(orders.select(k.alias("capture_id"), ((c * 31) % 500).cast("long").alias("xi"), ((c * 17) % 600).cast("long").alias("yi"), (200 + (k * 7) % 300).cast("long").alias("wi"), (150 + (k * 11) % 250).cast("long").alias("hi")))
 
 
-def document_blocks(documents: DataFrame, most_lines: int | None = 40) -> DataFrame:
-    """The first lines of each document (None: all, below the page too) as blocks: even documents in one column, odd ones in two below a title."""
+def document_blocks(documents: DataFrame) -> DataFrame:
+    """All lines of each document as blocks, running on below the page: even documents in one column, odd ones in two below a title."""
     lines = documents.select(F.col("doc_id").alias("capture_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     lines = lines.where(F.char_length("text") > 0)
-    lines = lines if most_lines is None else lines.where(F.col("line_no") < most_lines)
     odd, n, no = F.col("capture_id") % 2 == 1, F.char_length("text"), F.col("line_no")
     row = F.when(odd, F.floor((no + 1) / 2)).otherwise(no)
     return _scaled(lines.select(
@@ -77,7 +76,7 @@ SQL = {
     "db": """db AS (SELECT *, xi/1000.0::DOUBLE AS x, yi/1000.0::DOUBLE AS y, wi/1000.0::DOUBLE AS w, hi/1000.0::DOUBLE AS h FROM (
         SELECT doc_id AS capture_id, line_no AS block_id, line AS text, CASE WHEN doc_id%2=1 AND line_no>0 AND line_no%2=0 THEN 550 ELSE 50 END::BIGINT AS xi,
         (940-23*CASE WHEN doc_id%2=1 THEN (line_no+1)//2 ELSE line_no END)::BIGINT AS yi, CASE WHEN line_no=0 THEN 900 ELSE least(400, 20+2*length(line)) END::BIGINT AS wi, 15::BIGINT AS hi
-        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT-1 AS line_no FROM documents) WHERE line_no<40 AND length(line)>0))""",
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT-1 AS line_no FROM documents) WHERE length(line)>0))""",
     "pix": """pix AS (SELECT capture_id, ix%8 AS px, ix//8 AS py, r, (r*3)%256 AS g, (r*7)%256 AS b FROM (
         SELECT vec_id AS capture_id, generate_subscripts(embedding, 1)::BIGINT-1 AS ix, floor((unnest(embedding)::DOUBLE+1)*127.5)::BIGINT AS r FROM embeddings WHERE len(embedding)=64))""",
 }
@@ -85,4 +84,4 @@ SQL = {
 
 def with_sql(names: str, query: str) -> str:
     """A DuckDB query over the named layout tables; a query that begins with further tables starts with a comma."""
-    return "WITH " + ",\n".join(SQL[n] for n in names.split()) + "\n" + query
+    return "WITH " + ",\n".join(SQL[n] if n in SQL else SQL["tb"].replace("tb AS", f"{n} AS", 1) for n in names.split()) + "\n" + query
