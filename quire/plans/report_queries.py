@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import reports, screens
 from quire.plans.registry import query
+from quire.sources import files as F_
 from quire.sources import layouts as L
 
 
@@ -30,6 +31,26 @@ tests AS (SELECT ts.run_id, ts.line_no, ts.tn AS name, coalesce((SELECT arg_max(
 ENRICHED = LOG + ", cat(key, category) AS (VALUES ('t1','core'),('t2','ocr'),('s0/t3','export'),('s1/t3','ui')), en AS (SELECT tests.*, coalesce(a.category, b.category) AS category FROM tests LEFT JOIN cat a ON a.key=name LEFT JOIN cat b ON b.key=CASE WHEN suite='' THEN '/'||name ELSE suite||'/'||name END) "
 
 
+LINES = """CASE event_type WHEN 'view' THEN '  ◇ Suite "s'||(event_id%3)||'" started.' WHEN 'signup' THEN '✔ Suite "s'||(event_id%3)||'" passed.' WHEN 'click' THEN '✔ Test "t'||(event_id%17)||'" passed after 0.1 seconds.' WHEN 'error' THEN '✘ Test "t'||(event_id%17)||'" failed.' ELSE '✘ Test "t'||(event_id%17)||'" recorded an issue: Expectation failed: v'||(event_id%7) END"""
+
+
+@query("s10_read_log", f"SELECT user_id::VARCHAR AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)-1 AS line_no, {LINES} AS line FROM events")
+def read_log(spark, d):
+    """Logs written as a file a run and read back; the last file line is empty and is no line of the log."""
+    path = F_.shared_path(spark, "logs")
+    F_.write_logs(log(spark, d), path)
+    return F_.read_log(spark, path).where("line <> ''")
+
+
+@query("s12_read_catalog", "SELECT n_name AS key, r_name AS category, 'nation '||n_nationkey AS description FROM nation JOIN region ON r_regionkey=n_regionkey")
+def read_catalog(spark, d):
+    path = F_.shared_path(spark, "catalog")
+    n, r = L.table(spark, d, "nation"), L.table(spark, d, "region")
+    entries = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("key"), F.col("r_name").alias("category"), F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")).alias("description"))
+    F_.write_catalog(entries, path)
+    return F_.read_catalog(spark, path)
+
+
 def tests(spark, d):
     return reports.parsed(log(spark, d))
 
@@ -66,9 +87,12 @@ def coverage(spark, d):
     return reports.coverage(files(spark, d), 44.0)
 
 
-@query("s11_coverage_files", f"SELECT run_id, path, split_part(path,'/Sources/',2) AS relative, covered FROM {FILES} WHERE contains(path,'/Sources/')")
+@query("s11_coverage_files", f"SELECT run_id::VARCHAR AS run_id, path, split_part(path,'/Sources/',2) AS relative, covered, count::BIGINT AS count, covered::DOUBLE AS percent FROM {FILES} WHERE contains(path,'/Sources/')")
 def coverage_files(spark, d):
-    return files(spark, d).where(F.contains("path", F.lit("/Sources/"))).select("run_id", "path", reports.relative_path(F.col("path")).alias("relative"), "covered")
+    """Coverage exports written as a file a run and read back."""
+    path = F_.shared_path(spark, "coverage")
+    F_.write_coverage(files(spark, d), path)
+    return F_.read_coverage(spark, path).select("run_id", "path", reports.relative_path(F.col("path")).alias("relative"), "covered", "count", "percent")
 
 
 def runs(spark, d):

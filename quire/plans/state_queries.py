@@ -8,6 +8,7 @@ from quire.operators import overlays as O
 from quire.plans import fold_sql
 from quire.plans.geometry_queries import blocks, figures
 from quire.plans.page_queries import GROUP_SQL
+from quire.plans.raster_queries import TXT, pixel_boxes, pixels
 from quire.plans.registry import query
 from quire.sources import layouts as L
 from quire.sources.layouts import with_sql
@@ -136,6 +137,14 @@ def export_markdown(spark, d):
     return markdown(joined_text(L.document_blocks(L.table(spark, d, "documents")), ["capture_id"], "block_id"))
 
 
+@query("k1_export_figures", with_sql("pix", TXT + "SELECT capture_id, 'capture-'||capture_id||'-figure-1.ppm' AS path, 'P3'||chr(10)||'5 4'||chr(10)||'255'||chr(10)||string_agg(r||' '||g||' '||b, chr(10) ORDER BY py, px)||chr(10) AS content FROM pix JOIN pb USING (capture_id) WHERE px>=x AND px<x+w AND py>=y AND py<y+h GROUP BY 1"))
+def export_figures(spark, d):
+    from quire.operators import raster
+    from quire.sources.files import portable_pixmaps
+
+    return portable_pixmaps(raster.cropped(pixels(spark, d), pixel_boxes(spark, d)).withColumn("fig_no", F.lit(1)))
+
+
 @query("k2_copy_text", f"WITH {SIMPLE}, {BLK}, i AS (SELECT DISTINCT capture_id, block_id FROM {IDS} WHERE NOT is_excluded) SELECT capture_id, string_agg(text, chr(10) ORDER BY block_id) AS full_text, count(*) AS blocks FROM bk JOIN i USING (capture_id, block_id) GROUP BY 1")
 def copy_text(spark, d):
     return O.filtered_text(page_blocks(spark, d), simple(spark, d))

@@ -2,22 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COVERAGE = "data array<struct<files: array<struct<filename: string, summary: struct<lines: struct<count: bigint, covered: bigint, percent: double>>>>>>"
 CATALOG = "map<string, struct<category: string, description: string>>"
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place below ``spark.checkpoint.dir``, or on a local master without it in a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='quire-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _run() -> Column:
+    """The run of a file: the folder ``run_id=...`` it lies in, else its name."""
+    run = F.regexp_extract(F.col("_metadata.file_path"), "run_id=([^/]+)/", 1)
+    return F.when(run != "", run).otherwise(F.col("_metadata.file_name")).alias("run_id")
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """``run_id, line_no, line``: a run a file. Lines are numbered inside each file, which is read as one row."""
-    d = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("run_id"), F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line_no", "line"))
+    d = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(_run(), F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line_no", "line"))
     return d.withColumn("line_no", F.col("line_no").cast("long"))
 
 
 def read_coverage(spark: SparkSession, path: str) -> DataFrame:
     """``run_id, path, covered, count, percent`` of the source files of coverage exports."""
-    d = spark.read.schema(COVERAGE).json(path, multiLine=True).select(F.col("_metadata.file_name").alias("run_id"), F.explode("data").alias("d"))
+    d = spark.read.schema(COVERAGE).json(path, multiLine=True, recursiveFileLookup=True).select(_run(), F.explode("data").alias("d"))
     f = d.select("run_id", F.explode("d.files").alias("f"))
     return f.select("run_id", F.col("f.filename").alias("path"), F.col("f.summary.lines.covered").alias("covered"), F.col("f.summary.lines.count").alias("count"), F.col("f.summary.lines.percent").alias("percent")).where(F.contains("path", F.lit("/Sources/")))
 
@@ -28,6 +45,24 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return d.select("key", "v.category", "v.description")
 
 
+def write_logs(log: DataFrame, path: str) -> None:
+    """``log`` (run_id, line_no, line) as a text file a run, in a folder of its own."""
+    log.select("run_id", "line_no", F.col("line").alias("value")).repartition("run_id").sortWithinPartitions("run_id", "line_no").drop("line_no").write.partitionBy("run_id").text(path)
+
+
+def write_coverage(files: DataFrame, path: str) -> None:
+    """``files`` (run_id, path, covered, count) as a coverage export a run, in a folder of its own."""
+    lines = F.struct(F.struct("count", "covered", (F.col("covered") * 100.0 / F.col("count")).alias("percent")).alias("lines"))
+    runs = files.groupBy("run_id").agg(F.collect_list(F.struct(F.col("path").alias("filename"), lines.alias("summary"))).alias("files"))
+    runs.select("run_id", F.to_json(F.struct(F.array(F.struct("files")).alias("data"))).alias("value")).repartition("run_id").write.partitionBy("run_id").text(path)
+
+
+def write_catalog(entries: DataFrame, path: str) -> None:
+    """``entries`` (key, category, description) as one catalog file: a catalog is one map, small by nature."""
+    entry = F.struct("key", F.struct("category", "description"))
+    entries.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).coalesce(1).write.text(path)
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """Image files as rows of bytes, for a decoder of the caller's choice."""
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")
@@ -53,7 +88,19 @@ def markdown(texts: DataFrame) -> DataFrame:
     return texts.select("capture_id", F.concat(F.lit("capture-"), name, F.lit(".md")).alias("path"), content.alias("content"))
 
 
-def export(texts: DataFrame, path: str, selection: str = "textAndFigures") -> None:
-    """Write markdown pages as text, a folder a capture; nothing for a selection of figures alone."""
-    if selection in ("textAndFigures", "textOnly"):
-        markdown(texts).select(F.col("content").alias("value"), "path").write.mode("overwrite").partitionBy("path").text(path)
+def portable_pixmaps(crops: DataFrame) -> DataFrame:
+    """``capture_id, path, content``: the pixels of each crop (capture_id, fig_no, width, height, px, py, r, g, b) as a plain pixmap file."""
+    colour = F.concat_ws(" ", "r", "g", "b")
+    pixels = F.array_sort(F.collect_list(F.struct("py", "px", colour.alias("c"))))
+    d = crops.groupBy("capture_id", "fig_no", "width", "height").agg(F.transform(pixels, lambda p: p["c"]).alias("c"))
+    content = F.concat(F.lit("P3\n"), F.concat_ws(" ", "width", "height"), F.lit("\n255\n"), F.array_join("c", "\n"), F.lit("\n"))
+    path = F.concat(F.lit("capture-"), F.col("capture_id").cast("string"), F.lit("-figure-"), F.col("fig_no").cast("string"), F.lit(".ppm"))
+    return d.select("capture_id", path.alias("path"), content.alias("content"))
+
+
+def export(texts: DataFrame, path: str, selection: str = "textAndFigures", crops: DataFrame | None = None) -> None:
+    """Write markdown pages and figure images (pixmaps of ``crops``) as text, a folder a file; ``selection`` may leave out either."""
+    parts = [markdown(texts)] if selection in ("textAndFigures", "textOnly") else []
+    parts += [portable_pixmaps(crops)] if selection in ("textAndFigures", "figuresOnly") and crops is not None else []
+    for n, part in enumerate(parts):
+        part.select(F.col("content").alias("value"), "path").write.mode("append" if n else "overwrite").partitionBy("path").text(path)

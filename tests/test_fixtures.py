@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,6 +232,11 @@ def test_file_sources(spark, tmp_path):
     texts = spark.createDataFrame([(7, "x\ny")], "capture_id long, full_text string")
     files.export(texts, str(tmp_path / "md"))
     assert "# Capture 7" in [r.value for r in spark.read.text(str(tmp_path / "md")).collect()]
+    crop = spark.createDataFrame([(7, 1, 2, 1, 1, 0, 9, 9, 9), (7, 1, 2, 1, 0, 0, 1, 2, 3)], "capture_id long, fig_no int, width long, height long, px long, py long, r long, g long, b long")
+    for selection, want in (("figuresOnly", {"capture-7-figure-1.ppm"}), ("textOnly", {"capture-7.md"}), ("textAndFigures", {"capture-7.md", "capture-7-figure-1.ppm"})):
+        files.export(texts, str(tmp_path / selection), selection, crop)
+        assert {r.path for r in spark.read.text(str(tmp_path / selection)).collect()} == want
+    assert files.portable_pixmaps(crop).first().content == "P3\n2 1\n255\n1 2 3\n9 9 9\n"
 
 
 def test_window_not_found(spark):
@@ -262,3 +268,59 @@ def test_flow_layout_takes_all_lines(spark, tmp_path):
     spark.createDataFrame([(1, "\n".join(f"a{i} b{i}" for i in range(50)))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = catalog.queries()["g32_flow_layout"](spark, str(tmp_path)).toPandas()
     assert sorted(got.word_no) == list(range(100))
+
+
+@pytest.mark.parametrize("page", [(255, 255, 255), (45, 45, 45), (245, 240, 232)])
+def test_growing_fills_a_picture_and_stops_at_the_page(spark, page):
+    """A block of 160 x 50 pixels on a page of 200 x 100, from a seed inside it; text at its right edge stops it."""
+    image = np.full((100, 200, 3), page, np.int64)
+    image[10:60, 20:180] = (30, 80, 150)
+    rows = [(1, 200, 100, x, y, *map(int, image[y, x])) for y in range(100) for x in range(200)]
+    pixels = spark.createDataFrame(rows, "capture_id long, width long, height long, px long, py long, r long, g long, b long")
+    seeds = spark.createDataFrame([(1, 5, 0.35, 0.55, 0.2, 0.1)], "capture_id long, cand_id long, x double, y double, w double, h double")
+    none = spark.createDataFrame([], "capture_id long, x double, y double, w double, h double")
+    r = scoring.grown_regions(seeds, none, pixels).first()
+    assert r.cand_id == 5 and 0.78 <= r.w <= 0.90 and 0.48 <= r.h <= 0.58
+    text = spark.createDataFrame([(1, 0.7, 0.4, 0.1, 0.5)], "capture_id long, x double, y double, w double, h double")
+    assert scoring.grown_regions(seeds, text, pixels).first().w < r.w - 0.1
+
+
+def naive_grow(image, box, texts, page, step=0.02, blank=0.6, off=60.0):
+    """Pixel by pixel and step by step."""
+    h, w = image.shape[:2]
+    x, y, bw, bh = box
+    top, bottom, left, right = int((1.0 - (y + bh)) * h), int((1.0 - y) * h), int(x * w), int((x + bw) * w)
+    top, bottom, left, right = max(0, min(h - 1, top)), max(0, min(h, bottom)), max(0, min(w - 1, left)), max(0, min(w, right))
+
+    def blocked(points):
+        return any(tx <= px / w < tx + tw and ty <= 1.0 - py / h < ty + th for px, py in points for tx, ty, tw, th in texts)
+
+    def bare(points):
+        return bool(points) and sum(sum(abs(int(image[py, px, k]) - page[k]) for k in range(3)) <= off for px, py in points) / len(points) >= blank
+
+    for side in ("top", "bottom", "left", "right"):
+        n, empty = max(1, int(step * (h if side in ("top", "bottom") else w))), 0
+        while True:
+            at, most = {"top": (top, 0), "bottom": (bottom, h), "left": (left, 0), "right": (right, w)}[side]
+            to = at - n if side in ("top", "left") else at + n
+            if to < 0 or to > (most or to):
+                break
+            line = to if side in ("top", "left") else min((h if side == "bottom" else w) - 1, to - 1)
+            lo, hi = (left, right) if side in ("top", "bottom") else (top, bottom)
+            points = lambda k: [(v, line) if side in ("top", "bottom") else (line, v) for v in range(lo, hi, max(1, (hi - lo) // k))]  # noqa: B023, E731
+            empty = empty + 1 if bare(points(20)) else 0
+            if blocked(points(10)) or empty == 2:
+                break
+            top, bottom, left, right = (to if side == s else v for s, v in (("top", top), ("bottom", bottom), ("left", left), ("right", right)))
+    return left / w, 1.0 - bottom / h, (right - left) / w, (bottom - top) / h
+
+
+def test_growing_matches_a_plain_version():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        h, w = rng.integers(11, 90, 2)
+        image = np.where(rng.random((h // 6 + 1, w // 6 + 1)).repeat(6, 0).repeat(6, 1)[:h, :w, None] < 0.5, 200, 40) + rng.integers(0, 9, (h, w, 3))
+        texts = np.array([(*rng.random(2), 0.1, 0.1) for _ in range(rng.integers(0, 3))]).reshape(-1, 4)
+        box, page = (*(rng.random(2) * 0.7), 0.2, 0.15), [200.0, 200.0, 200.0]
+        corners = np.column_stack((texts[:, 0], texts[:, 1], texts[:, 0] + texts[:, 2], texts[:, 1] + texts[:, 3]))
+        assert scoring.grow(image, box, corners, np.array(page), 0.02, 0.6, 60.0) == naive_grow(image, box, texts.tolist(), page)
