@@ -7,8 +7,10 @@ rebuilt and each round counts only what the windows newly cover. A vector whose
 threshold is verified with its exact cosine. A query ends in a block when its k-th verified neighbour is
 inside the radius that the windows stand for; no number of candidates ends it.
 
-Queries meet blocks of vectors in blocks of their own, so a task holds one block of each. A block returns k
-rows a query, and a rank over these rows gives the answer.
+Blocks are searched in waves that double: one block, then two, four and so on. What a query found in earlier
+waves bounds its radius in the next, so half of all blocks are searched with at most the radius of the k-th
+neighbour in the other half, and windows shrink as the table grows. Queries meet blocks of vectors in blocks
+of their own, so a task holds one block of each. A block returns at most k rows a query.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-WIDTH, RADIUS, GROWTH = 0.6, 0.45, 1.15
+from quire.llm.shared import Scratch
+
+WIDTH, RADIUS, GROWTH = 1.4, 0.6, 1.08
 
 
 class CollisionIndex:
@@ -39,13 +43,17 @@ class CollisionIndex:
         chance = math.erf(WIDTH / math.sqrt(2))  # of a collision on one line at exactly the radius
         self.threshold = projections * chance - miss * math.sqrt(projections * chance * (1 - chance))
 
-    def search(self, query: np.ndarray, verify, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows verified and their cosines (by ``verify(rows)``), when the k-th is inside the radius or all are in."""
+    def search(self, query: np.ndarray, verify, k: int, bound: float | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Rows verified, their cosines (by ``verify(rows)``), and whether more rows could be asked for.
+
+        Ends when the k-th is inside the radius, when all rows are in, or at the radius of the cosine ``bound``.
+        """
         at = (self.lines @ query)[:, None] + self.shift
         counts, done = np.zeros(self.n, np.int64), np.zeros(self.n, bool)
         rows, cos = np.empty(0, np.int64), np.empty(0)
         low = high = np.searchsorted(self.flat, at[:, 0])
-        radius = RADIUS
+        last = 2.1 if bound is None else math.sqrt(max(0.0, 2 - 2 * bound)) + 1e-9
+        radius = min(RADIUS, last)
         while True:
             if radius > 2:  # no two unit vectors are farther apart
                 new = np.flatnonzero(~done)
@@ -60,14 +68,14 @@ class CollisionIndex:
                 done[new] = True
                 rows, cos = np.concatenate((rows, new)), np.concatenate((cos, verify(new)))
             enough = len(rows) >= k and np.partition(cos, len(cos) - k)[len(cos) - k] >= 1 - radius * radius / 2
-            if enough or radius > 2:
-                return rows, cos
-            radius *= GROWTH
+            if enough or radius >= last:
+                return rows, cos, radius < last
+            radius = min(radius * GROWTH, last)
 
 
 def _search_block(k: int, projections: int):
     def run(table: pa.Table) -> pa.Table:
-        ids, side = table["id"].to_numpy(), table["side"].to_numpy()
+        ids, side, bounds = table["id"].to_numpy(), table["side"].to_numpy(), table["bound"].to_pylist()
         vectors = np.array(table["vector"].combine_chunks().flatten(), np.float64).reshape(len(ids), -1)
         scale = np.linalg.norm(vectors, axis=1)
         index_rows = np.flatnonzero(side == 0)
@@ -84,12 +92,12 @@ def _search_block(k: int, projections: int):
                 # rows of the query's own id, and repeats of an id, may stand among the found: go on until k others are in
                 want = k + 1
                 while True:
-                    rows, cos = index.search(q / scale[i], verify, want)
+                    rows, cos, more = index.search(q / scale[i], verify, want, bounds[i])
                     rank = np.lexsort((data_ids[rows], -cos))
                     rank = rank[data_ids[rows[rank]] != own]
                     _, first = np.unique(data_ids[rows[rank]], return_index=True)
                     rank = rank[np.sort(first)[:k]]
-                    if len(rank) == k or len(rows) == len(data):
+                    if len(rank) == k or not more or len(rows) == len(data):
                         break
                     want = min(2 * want + len(rows), len(data))
                 out[0].append(np.full(len(rank), own))
@@ -109,8 +117,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, projections: int
     null or non-finite parts take no part on either side. A vector meets only those of its own length. Rows
     that repeat an id stand for one item: an item's score is that of its nearest vector, and it is never its
     own neighbour. Empty tables give no rows. Other columns are not read. ``block`` and ``query_block`` bound
-    what a task holds: every vector is sent once for each query block.
+    what a task holds: every vector is sent once for each query block, every query once for each block.
     """
+    scratch = Scratch(vectors.sparkSession, "nearest")
 
     def usable(df: DataFrame) -> DataFrame:
         v = F.col(vector_col).cast("array<double>")
@@ -121,14 +130,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, projections: int
     data, asked = usable(vectors), usable(queries)
     blocks, query_blocks = max(1, math.ceil(data.count() / block)), max(1, math.ceil(asked.count() / query_block))
     h = F.xxhash64("id", "vector")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = data.select("id", "vector", F.lit(0).alias("side"), F.pmod(h, F.lit(blocks)).cast("int").alias("block"), every(query_blocks).alias("query_block"))
-    right = asked.select("id", "vector", F.lit(1).alias("side"), F.pmod(h, F.lit(query_blocks)).cast("int").alias("query_block"), every(blocks).alias("block"))
-    met = left.unionByName(right).withColumn("length", F.size("vector"))
-    found = met.groupBy("length", "block", "query_block").applyInArrow(_search_block(k, projections), "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    data = data.withColumn("block", F.pmod(h, F.lit(blocks)).cast("int"))
+    asked = asked.withColumn("query_block", F.pmod(h, F.lit(query_blocks)).cast("int"))
+    best, first = None, 0
+    while first < blocks:
+        end = min(2 * first + 1, blocks)
+        every = lambda a, b: F.explode(F.sequence(F.lit(a), F.lit(b - 1)))
+        left = data.where(f"block >= {first} AND block < {end}").select("id", "vector", F.lit(0).alias("side"), "block", every(0, query_blocks).alias("query_block"), F.lit(None).cast("double").alias("bound"))
+        bounded = asked.withColumn("bound", F.lit(None).cast("double"))
+        if best is not None:
+            kth = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+            bounded = asked.join(kth, "id", "left")
+        right = bounded.select("id", "vector", F.lit(1).alias("side"), every(first, end).alias("block"), "query_block", "bound")
+        met = left.unionByName(right).withColumn("length", F.size("vector"))
+        found = met.groupBy("length", "block", "query_block").applyInArrow(_search_block(k, projections), "query_id long, vec_id long, score double")
+        if best is not None:
+            found = found.unionByName(best.drop("rank"))
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        best = scratch.write(ranked, f"best-{end}")
+        if first:
+            scratch.drop(f"best-{first}")
+        first = end
+    return best
 
 
 def brute_force(ids: list[int], vectors: list[list[float]], query_ids: list[int], k: int = 5) -> Iterator[tuple[int, int, int, float]]:
