@@ -324,3 +324,26 @@ def test_growing_matches_a_plain_version():
         box, page = (*(rng.random(2) * 0.7), 0.2, 0.15), [200.0, 200.0, 200.0]
         corners = np.column_stack((texts[:, 0], texts[:, 1], texts[:, 0] + texts[:, 2], texts[:, 1] + texts[:, 3]))
         assert scoring.grow(image, box, corners, np.array(page), 0.02, 0.6, 60.0) == naive_grow(image, box, texts.tolist(), page)
+
+
+def test_components_match_flood_fill():
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        h, w = rng.integers(1, 30, 2)
+        image = rng.random((h, w)) < 0.6
+        y, x = np.nonzero(image)
+        if not len(x):
+            continue
+        left, want = set(zip(y.tolist(), x.tolist())), []
+        for start in sorted(left):
+            if start in left:
+                part, todo = set(), [start]
+                while todo:
+                    c = todo.pop()
+                    if c in left:
+                        left.discard(c)
+                        part.add(c)
+                        todo += [(c[0] + dy, c[1] + dx) for dy, dx in ((0, 1), (1, 0), (0, -1), (-1, 0))]
+                want.append(part)
+        got = [set(zip(y[p].tolist(), x[p].tolist())) for p in raster._components(x, y)]
+        assert got == want
