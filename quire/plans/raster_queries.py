@@ -113,7 +113,7 @@ def tighten(spark, d):
     return raster.tightened(raster.resized(pixels(spark, d), 32, 32))
 
 
-@query("r8_auto_crop", with_sql("pix", R.auto_crop()))
+@query("r8_auto_crop", with_sql("pix", R.LIGHT + R.auto_crop(24, 24)))
 def auto_crop(spark, d):
     light = raster.resized(pixels(spark, d), 24, 24).withColumns({c: F.when((F.col("px") < 4) | (F.col("py") > 19), F.lit(250)).otherwise(F.col(c)).cast("long") for c in "rgb"})
     return raster.auto_cropped(light)
@@ -363,3 +363,48 @@ def instance_regions(spark, d):
     from quire.operators import screens
 
     return screens.instance_regions(pixels(spark, d).where("r > 140").withColumn("instance", F.lit(0))).select("capture_id", "x", "y", "w", "h")
+
+
+# ---- images of a page's size, on which samples are taken at strides
+
+
+def sheets(spark, d):
+    return L.sheets(L.table(spark, d, "embeddings"))
+
+
+def sheet_texts(spark, d):
+    c = F.col("capture_id")
+    ids = L.table(spark, d, "embeddings").where(F.size("embedding") == 64).select((F.col("vec_id") / 50).cast("long").alias("capture_id")).distinct()
+    return ids.select("capture_id", F.lit(0).cast("long").alias("block_id"), ((c % 4) / 8.0).alias("x"), ((c % 5) / 8.0).alias("y"), F.lit(0.5).alias("w"), F.lit(0.25).alias("h"))
+
+
+@query("r1_background_page", with_sql("sheet", R.SHEET_BG + " SELECT * FROM bg"))
+def background_page(spark, d):
+    return raster.background(sheets(spark, d))
+
+
+@query("r3_content_map_page", with_sql("sheet", R.SHEET_CELLS + "SELECT * FROM cl"))
+def content_map_page(spark, d):
+    return raster.content_map(sheets(spark, d), sheet_texts(spark, d))
+
+
+@query("r5_color_variance_page", with_sql("sheet", f"SELECT capture_id, round(sqrt({VARS}),6) AS variance FROM sheet WHERE px%6=0 AND py%3=0 GROUP BY 1"))
+def color_variance_page(spark, d):
+    return raster.color_variance(sheets(spark, d))
+
+
+@query("r6_strip_deviation_page", with_sql("sheet", f"SELECT capture_id, 'column' AS kind, px AS at, {DEV} AS deviation FROM sheet WHERE py%10=0 GROUP BY 1,3 UNION ALL SELECT capture_id, 'row', py, {DEV} FROM sheet WHERE px%21=0 GROUP BY 1,3"))
+def strip_deviation_page(spark, d):
+    p = sheets(spark, d)
+    named = lambda columns, kind: raster.strips(p, columns).select("capture_id", F.lit(kind).alias("kind"), "at", "deviation")
+    return named(True, "column").unionByName(named(False, "row"))
+
+
+@query("r8_auto_crop_page", with_sql("sheet", R.auto_crop(640, 320, "sheet")))
+def auto_crop_page(spark, d):
+    return raster.auto_cropped(sheets(spark, d))
+
+
+@query("r14_deviation_outside_text_page", with_sql("sheet", R.SHEET_TEXT + f" SELECT capture_id, {DEV} AS deviation FROM sheet JOIN txt USING (capture_id) WHERE px%3=0 AND NOT (px/640.0>=x AND px/640.0<x+w AND 1-py/320.0>=y AND 1-py/320.0<y+h) GROUP BY 1"))
+def deviation_outside_text_page(spark, d):
+    return raster.deviation_outside_text(sheets(spark, d), sheet_texts(spark, d))

@@ -18,15 +18,27 @@ def tighten(dev: str) -> str:
     return f"{BIG}, {ends('px', 'x')}, {ends('py', 'y')}, c AS (SELECT s.capture_id, x1, x2, y1, y2, {low('x')} AS x, {low('y')} AS y, {span('x')} AS w, {span('y')} AS h FROM (SELECT DISTINCT capture_id FROM big) s LEFT JOIN ex USING (capture_id) LEFT JOIN ey USING (capture_id)) SELECT capture_id, {pick('x', 0)}, {pick('y', 0)}, {pick('w', 32)}, {pick('h', 32)} FROM c"
 
 
-def auto_crop() -> str:
-    light = ", li AS (SELECT capture_id, nx AS px, ny AS py, " + ", ".join(f"CASE WHEN nx<4 OR ny>19 THEN 250 ELSE {c} END AS {c}" for c in "rgb") + " FROM pix, (SELECT unnest(range(24)) AS nx), (SELECT unnest(range(24)) AS ny) WHERE px=nx//3 AND py=ny//3)"
+LIGHT = ", li AS (SELECT capture_id, nx AS px, ny AS py, " + ", ".join(f"CASE WHEN nx<4 OR ny>19 THEN 250 ELSE {c} END AS {c}" for c in "rgb") + " FROM pix, (SELECT unnest(range(24)) AS nx), (SELECT unnest(range(24)) AS ny) WHERE px=nx//3 AND py=ny//3)"
+
+
+def auto_crop(width: int, height: int, table: str = "li") -> str:
+    """The crop of ``table``, images of one size no side of which is more than twice the other."""
+    every = lambda n, k: max(1, n // k)  # noqa: E731  the stride for about k samples
     mean = lambda on: f"round(sum(CASE WHEN {on} THEN r+g+b END)/count(CASE WHEN {on} THEN 1 END)/3.0::DOUBLE,6)"
-    ends = lambda at, n: f"h{n} AS (SELECT capture_id, {at} AS pos, sum((abs((r+g+b)/3.0::DOUBLE-bg)>20)::INT)/count(*)::DOUBLE>=0.05 AS has FROM li JOIN bgs USING (capture_id) WHERE bg>200 GROUP BY 1,2), e{n} AS (SELECT capture_id, coalesce(min(CASE WHEN has THEN pos END),0) AS {n}1, coalesce(max(CASE WHEN has THEN pos END),max(pos)) AS {n}2 FROM h{n} GROUP BY 1)"
-    low = lambda n: f"greatest(0, {n}1-CASE WHEN {n}1>=4 THEN 0 ELSE 2 END)"
-    size = lambda n: f"(least(23, {n}2+CASE WHEN 23-{n}2>=4 THEN 0 ELSE 2 END)-{low(n)}+1)"
-    use = "coalesce(bg>200 AND x1<x2 AND y1<y2 AND (w<20 OR h<20) AND w>4 AND h>4, false)"
+    edges = [mean(f"py=0 AND px%{every(width, 20)}=0"), mean(f"py={height - 1} AND px%{every(width, 20)}=0"), mean(f"px=0 AND py%{every(height, 20)}=0"), mean(f"px={width - 1} AND py%{every(height, 20)}=0")]
+    ends = lambda at, along, size, n: f"h{n} AS (SELECT capture_id, {at} AS pos, sum((abs((r+g+b)/3.0::DOUBLE-bg)>20)::INT)/count(*)::DOUBLE>=0.05 AS has FROM {table} JOIN bgs USING (capture_id) WHERE bg>200 AND {along}%{every(size, 40)}=0 GROUP BY 1,2), e{n} AS (SELECT capture_id, coalesce(min(CASE WHEN has THEN pos END),0) AS {n}1, coalesce(max(CASE WHEN has THEN pos END),max(pos)) AS {n}2 FROM h{n} GROUP BY 1)"
+    pad = max(2, min(width, height) // 50)
+    low = lambda n: f"greatest(0, {n}1-CASE WHEN {n}1>=4 THEN 0 ELSE {pad} END)"
+    size = lambda n, most: f"(least({most - 1}, {n}2+CASE WHEN {most - 1}-{n}2>=4 THEN 0 ELSE {pad} END)-{low(n)}+1)"
+    use = f"coalesce(bg>200 AND x1<x2 AND y1<y2 AND (w<{width - 4} OR h<{height - 4}) AND w>4 AND h>4, false)"
     pick = lambda c, whole: f"CASE WHEN {use} THEN {c} ELSE {whole} END::BIGINT AS {c}"
-    return f"{light}, bgs AS (SELECT capture_id, greatest({mean('py=0')}, {mean('py=23')}, {mean('px=0')}, {mean('px=23')}) AS bg FROM li GROUP BY 1), {ends('px', 'x')}, {ends('py', 'y')}, c AS (SELECT bgs.capture_id, bg, x1, x2, y1, y2, {low('x')} AS x, {low('y')} AS y, {size('x')} AS w, {size('y')} AS h FROM bgs LEFT JOIN ex USING (capture_id) LEFT JOIN ey USING (capture_id)) SELECT capture_id, {pick('x', 0)}, {pick('y', 0)}, {pick('w', 24)}, {pick('h', 24)} FROM c"
+    return f", bgs AS (SELECT capture_id, greatest({', '.join(edges)}) AS bg FROM {table} GROUP BY 1), {ends('px', 'py', height, 'x')}, {ends('py', 'px', width, 'y')}, c AS (SELECT bgs.capture_id, bg, x1, x2, y1, y2, {low('x')} AS x, {low('y')} AS y, {size('x', width)} AS w, {size('y', height)} AS h FROM bgs LEFT JOIN ex USING (capture_id) LEFT JOIN ey USING (capture_id)) SELECT capture_id, {pick('x', 0)}, {pick('y', 0)}, {pick('w', width)}, {pick('h', height)} FROM c"
+
+
+#: Background and content map of pages of 640 x 320 pixels, with a text a page.
+SHEET_BG = ", pt AS (SELECT capture_id, gx, gy, sum(r)/64.0::DOUBLE AS r, sum(g)/64.0::DOUBLE AS g, sum(b)/64.0::DOUBLE AS b FROM sheet, (VALUES (0),(1),(2),(3)) a(gx), (VALUES (0),(1),(2),(3)) c(gy) WHERE px BETWEEN 10+204*gx AND 17+204*gx AND py BETWEEN 10+292*gy//3 AND 17+292*gy//3 GROUP BY 1,2,3), bn AS (SELECT capture_id, floor((r+g+b)/3.0::DOUBLE/40) AS bin, count(*) AS n, round(sum(r)/count(*),6) AS r, round(sum(g)/count(*),6) AS g, round(sum(b)/count(*),6) AS b FROM pt GROUP BY 1,2), bg AS (SELECT capture_id, r, g, b FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY n DESC, bin) AS rn FROM bn) WHERE rn=1)"
+SHEET_TEXT = ", txt AS (SELECT DISTINCT capture_id, (capture_id%4)/8.0::DOUBLE AS x, (capture_id%5)/8.0::DOUBLE AS y, 0.5::DOUBLE AS w, 0.25::DOUBLE AS h FROM sheet)"
+SHEET_CELLS = SHEET_BG + SHEET_TEXT + ", cl AS (SELECT p.capture_id, gx, gy, CASE WHEN (gx+0.5)/50>=t.x AND (gx+0.5)/50<t.x+t.w AND 1-(gy+0.5)/50>=t.y AND 1-(gy+0.5)/50<t.y+t.h THEN 'text' WHEN round(abs(p.r-bg.r)+abs(p.g-bg.g)+abs(p.b-bg.b),6)<=60 THEN 'background' ELSE 'content' END AS cell FROM (SELECT unnest(range(50)) AS gx), (SELECT unnest(range(50)) AS gy), sheet p JOIN txt t USING (capture_id) JOIN bg USING (capture_id) WHERE px=(2*gx+1)*64//10 AND py=(2*gy+1)*32//10) "
 
 
 def components(mask: str, key: str = "k") -> str:

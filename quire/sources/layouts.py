@@ -59,6 +59,18 @@ def pixels(raster: DataFrame) -> DataFrame:
     return p.select("capture_id", "width", "height", (F.col("at") % F.col("width")).cast("long").alias("px"), F.floor(F.col("at") / F.col("width")).cast("long").alias("py"), F.col("r").cast("long"), ((F.col("r") * 3) % 256).cast("long").alias("g"), ((F.col("r") * 7) % 256).cast("long").alias("b"))
 
 
+def sheets(embeddings: DataFrame) -> DataFrame:
+    """Pages of 640 x 320 pixels, a row a pixel: ten by five rasters at eight times their size, textured, with a light margin left and below."""
+    e = embeddings.where(F.size("embedding") == 64).select((F.col("vec_id") / 50).cast("long").alias("capture_id"), (F.col("vec_id") % 50).alias("tile"), F.posexplode("embedding").alias("at", "v"))
+    eight = lambda n: F.explode(F.sequence(F.lit(0), F.lit(7))).alias(n)
+    e = e.select("*", eight("dx")).select("*", eight("dy"))
+    x = (F.col("tile") % 10) * 64 + (F.col("at") % 8) * 8 + F.col("dx")
+    y = F.floor(F.col("tile") / 10) * 64 + F.floor(F.col("at") / 8) * 8 + F.col("dy")
+    p = e.select("capture_id", F.lit(640).cast("long").alias("width"), F.lit(320).cast("long").alias("height"), x.cast("long").alias("px"), y.cast("long").alias("py"), F.floor((F.col("v").cast("double") + 1) * 127.5).alias("grey"))
+    r = F.when((F.col("px") < 24) | (F.col("py") >= 300), 250).otherwise(F.col("grey") + (F.col("px") * 3 + F.col("py") * 5) % 16).cast("long")
+    return p.select("capture_id", "width", "height", "px", "py", r.alias("r"), ((r * 3) % 256).alias("g"), ((r * 7) % 256).alias("b"))
+
+
 def overlay_events(events: DataFrame) -> DataFrame:
     """Edits of overlays, from user events in the order of their time."""
     op = F.when(F.col("event_type") == "click", "select").when(F.col("event_type") == "purchase", "toggle").when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "error", "delete").otherwise("move")
@@ -77,6 +89,9 @@ SQL = {
         SELECT doc_id AS capture_id, line_no AS block_id, line AS text, CASE WHEN doc_id%2=1 AND line_no>0 AND line_no%2=0 THEN 550 ELSE 50 END::BIGINT AS xi,
         (940-23*CASE WHEN doc_id%2=1 THEN (line_no+1)//2 ELSE line_no END)::BIGINT AS yi, CASE WHEN line_no=0 THEN 900 ELSE least(400, 20+2*length(line)) END::BIGINT AS wi, 15::BIGINT AS hi
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT-1 AS line_no FROM documents) WHERE length(line)>0))""",
+    "sheet": """sheet AS (SELECT capture_id, px, py, r, (r*3)%256 AS g, (r*7)%256 AS b FROM (SELECT capture_id, px, py, CASE WHEN px<24 OR py>=300 THEN 250 ELSE grey+(px*3+py*5)%16 END AS r FROM (
+        SELECT vec_id//50 AS capture_id, vec_id%50%10*64+ix%8*8+dx AS px, vec_id%50//10*64+ix//8*8+dy AS py, grey FROM (
+        SELECT vec_id, generate_subscripts(embedding, 1)::BIGINT-1 AS ix, floor((unnest(embedding)::DOUBLE+1)*127.5)::BIGINT AS grey FROM embeddings WHERE len(embedding)=64), (SELECT unnest(range(8)) AS dx), (SELECT unnest(range(8)) AS dy))))""",
     "pix": """pix AS (SELECT capture_id, ix%8 AS px, ix//8 AS py, r, (r*3)%256 AS g, (r*7)%256 AS b FROM (
         SELECT vec_id AS capture_id, generate_subscripts(embedding, 1)::BIGINT-1 AS ix, floor((unnest(embedding)::DOUBLE+1)*127.5)::BIGINT AS r FROM embeddings WHERE len(embedding)=64))""",
 }
