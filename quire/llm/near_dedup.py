@@ -208,10 +208,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     tested = scratch.write(first_pairs(meeting), "pairs-1")
     links = scratch.write(confirmed(likely(tested)), "links-1")
-    pairs, blocks = across(meeting, components(scratch, links, "cc-1"), FEW, LEFT, RIGHT)
+    comp = components(scratch, links, "cc-1")
+    pairs, blocks = across(meeting, comp, FEW, LEFT, RIGHT)
     more = confirmed(likely(pairs.join(tested, ["a", "b"], "left_anti")))
     wide = blocks.join(heads.select("id", "sig"), "id").join(sets, "id").groupBy("band", "block", "piece").applyInArrow(_across(cut, percent), "a long, b long")
-    links = scratch.write(links.union(more).union(wide), "links-2")
+    # the first components as stars, and what joins them
+    stars = comp.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    links = scratch.write(stars.union(more).union(wide), "links-2")
     comp = components(scratch, links, "cc-2")
     member = comp.select(F.col("node").alias("key"), "component").union(comp.select("component", "component").distinct())
     member = member.join(classes, "key")
