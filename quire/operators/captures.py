@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -51,6 +51,34 @@ def per_capture_arrays(df: DataFrame, order: list[str], columns: list[str], kern
     return grouped.mapInArrow(run, out)
 
 
+def per_capture_values(df: DataFrame, order: str, columns: list[str], kernel: Callable[[dict[str, np.ndarray]], np.ndarray], name: str, schema: str, extra: Callable[[Column], dict[str, Column]] | None = None, key: str = "capture_id") -> DataFrame:
+    """``df`` with a column ``name`` that ``kernel`` gives for the rows of each capture, sorted by ``order``.
+
+    The kernel gets an array a column and, as one number each, what ``extra`` computes from the capture's rows.
+    Rows go in and out as they are, so nothing is joined back.
+    """
+    fields = [order, *(c for c in df.columns if c not in (key, order))]
+    grouped = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
+    more = extra(F.col("rows")) if extra else {}
+    grouped = grouped.select(key, "rows", *(c.alias(n) for n, c in more.items()))
+    out = grouped.select(key, "rows").withColumn("values", F.array().cast(f"array<{schema}>")).schema
+    value_type, singles = to_arrow_schema(out).field("values").type.value_type, list(more)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, found = batch.column(1), []
+            whole = {f: np.asarray(lists.values.field(fields.index(f))) for f in columns}
+            single = {n: batch.column(2 + i).to_pylist() for i, n in enumerate(singles)}
+            ends = np.asarray(lists.offsets)
+            for i, (a, b) in enumerate(zip(ends, ends[1:])):
+                found.append(kernel({f: v[a:b] for f, v in whole.items()} | {n: v[i] for n, v in single.items()}))
+            values = pa.array(np.concatenate(found) if found else [], value_type)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.ListArray.from_arrays(lists.offsets, values)], [key, "rows", "values"])
+
+    rows = grouped.mapInArrow(run, out).select(key, F.explode(F.arrays_zip("rows", "values")).alias("r"))
+    return rows.select(*(F.col(key) if c == key else F.col(f"r.rows.{c}") for c in df.columns), F.col("r.values").alias(name))
+
+
 class Sets:
     """Disjoint sets of 0..n-1 with path halving; the root is the smallest member."""
 

@@ -21,11 +21,14 @@ def reading_order(blocks: DataFrame, band_tolerance: float = 0.5, least_gap: flo
     b = b.withColumn("band", F.sum((F.coalesce(F.round("step", 9), F.lit(0.0)) > 0).cast("long")).over(down))
     across = Window.partitionBy("capture_id", "band").orderBy("x", "block_id")
     b = b.withColumn("left_end", F.lag(F.col("x") + F.col("w")).over(across))
-    gap = F.round(F.col("x") - F.col("left_end"), 9)
-    widest = b.withColumn("gap", gap).groupBy("capture_id", "band").agg(F.max(F.struct("gap", -F.col("x"), F.round((F.col("left_end") + F.col("x")) / 2, 9).alias("centre"))).alias("m"))
-    centres = widest.where(F.col("m.gap") > least_gap).groupBy("capture_id").agg(F.count("*").alias("n"), F.avg(F.col("m.centre").cast("decimal(12,9)")).cast("double").alias("boundary"), F.min("m.centre").alias("low"), F.max("m.centre").alias("high"))
-    columns = centres.where((F.col("n") >= 2) & (F.round(F.greatest(F.col("high") - F.col("boundary"), F.col("boundary") - F.col("low")), 9) < spread)).select("capture_id", "boundary")
-    b = b.join(columns, "capture_id", "left")
+    b = b.withColumns({"gap": F.round(F.col("x") - F.col("left_end"), 9), "centre": F.round((F.col("left_end") + F.col("x")) / 2, 9)})
+    # the widest gap of each band, seen once; all in one pass over a page's rows
+    widest = F.row_number().over(Window.partitionBy("capture_id", "band").orderBy(F.desc_nulls_last("gap"), "x", F.desc("centre")))
+    b = b.withColumn("centre", F.when((widest == 1) & (F.col("gap") > least_gap), F.col("centre")))
+    middle = F.avg(F.col("centre").cast("decimal(12,9)")).over(w).cast("double")
+    b = b.withColumns({"bands": F.count("centre").over(w), "boundary": middle, "low": F.min("centre").over(w), "high": F.max("centre").over(w)})
+    columns = (F.col("bands") >= 2) & (F.round(F.greatest(F.col("high") - F.col("boundary"), F.col("boundary") - F.col("low")), 9) < spread)
+    b = b.withColumn("boundary", F.when(columns, F.col("boundary")))
     part = F.when(F.col("boundary").isNull(), F.lit(0)).when((F.col("x") < F.col("boundary")) & (F.col("x") + F.col("w") > F.col("boundary")), 0).when(F.col("x") + F.col("w") / 2 < F.col("boundary"), 1).otherwise(2)
     plain = F.col("boundary").isNull()
     order = w.orderBy(part, F.when(plain, F.col("band")), F.when(plain, F.col("x")), F.when(~plain, -F.col("mid")), "block_id")
