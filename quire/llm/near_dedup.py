@@ -217,8 +217,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links = scratch.write(stars.union(more).union(wide), "links-2")
     comp = components(scratch, links, "cc-2")
     member = comp.select(F.col("node").alias("key"), "component").union(comp.select("component", "component").distinct())
-    member = member.join(classes, "key")
-    least = member.join(member.groupBy("component").agg(F.min("rep").alias("least")), "component").select("key", "least")
+    member = scratch.write(member.join(classes, "key"), "member")
+    # written, so that Spark can split the join where a component is very large
+    first = scratch.write(member.groupBy("component").agg(F.min("rep").alias("least")), "first")
+    least = member.join(first, "component").select("key", "least")
     named = scratch.write(classes.join(least, "key", "left").select("key", F.coalesce("least", "rep").alias("component_id")), "named")
     scratch.keep_only("sigs", "named")
     scratch.sweep()

@@ -237,7 +237,9 @@ def _parts(text: str, chars: int, special: list[str]) -> Iterator[str]:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, files: int, row_group_mb: int = 16, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``doc_id, n_tokens, ids`` (with ``end_id`` at the end) under ``path``, in ascending order over all files.
+    """Write ``doc_id, n_tokens, before, ids`` (with ``end_id`` at the end) under ``path``, in ascending order over all files.
+
+    ``before`` counts the ids of the documents before it in the same file.
 
     Documents go to ``files`` ranges of ids before they are encoded; nulls in the id sort first, null texts
     have the end id alone, repeated ids and rows all stay, ordered by text. Other columns, whatever their
@@ -248,16 +250,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, files:
     ranged = picked.withColumn("h", F.xxhash64("text")).repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0  # a task writes one file
         for rows, ids, ends in encoded(batches, 1, tokenizer, end_id):
             offsets = np.append(0, ends)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(offsets).astype(np.int64)), lists], ["doc_id", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(before + offsets[:-1].astype(np.int64)), lists], ["doc_id", "n_tokens", "before", "ids"])
+            before += len(ids)
 
     options = {
         "compression": "zstd", "parquet.block.size": row_group_mb << 20, "parquet.page.size": 1 << 18, "parquet.page.row.count.limit": 2000, "parquet.writer.version": "PARQUET_2_0",
-        "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#n_tokens": "false",
+        "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#n_tokens": "false", "parquet.enable.dictionary#before": "false",
     }
-    ranged.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>").write.options(**options).parquet(path)
+    ranged.mapInArrow(run, "doc_id long, n_tokens long, before long, ids array<int>").write.options(**options).parquet(path)
 
 
 def token_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -268,8 +272,8 @@ def token_counts(spark: SparkSession, path: str) -> DataFrame:
 def token_spans(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of a written token table.
 
-    ``start`` counts the ids of all documents before it. Sums by file give each file's first id, and a
-    running sum inside each file the rest: no task sees more than one file's rows.
+    ``start`` counts the ids of all documents before it: those of the files before, summed from the counts
+    alone, and those before it in its file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,13 +281,11 @@ def token_spans(spark: SparkSession, path: str) -> DataFrame:
             lists = batch.column(3)
             values, ends = np.asarray(lists.values).astype("<u4", copy=False), np.asarray(lists.offsets)
             crc = [zlib.crc32(values[a:b]) for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())], ["file", "at", "doc_id", "n_tokens", "ids_crc32"])
-
-    table = spark.read.parquet(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long").alias("file"), F.col("_metadata.row_index").alias("at"), "doc_id", "ids")
-    rows = table.mapInArrow(run, "file long, at long, doc_id long, n_tokens long, ids_crc32 long")
-    files = spark.read.parquet(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long").alias("file"), "n_tokens").groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(F.broadcast(files), "file")
-    return rows.select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())], ["file", "before", "doc_id", "n_tokens", "ids_crc32"])
+
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long").alias("file")
+    rows = spark.read.parquet(path).select(number, "before", "doc_id", "ids").mapInArrow(run, "file long, before long, doc_id long, n_tokens long, ids_crc32 long")
+    files = spark.read.parquet(path).select(number, "n_tokens").groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    files = files.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    return rows.join(F.broadcast(files), "file").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

@@ -250,8 +250,8 @@ def test_token_file_layout(spark, words, tmp_path):
     assert sum(m.num_rows for m in metas) == 400 and max(m.num_row_groups for m in metas) > 1
     for m in metas:
         for g in range(m.num_row_groups):
-            cols = {m.row_group(g).column(c).path_in_schema: m.row_group(g).column(c) for c in range(3)}
-            assert "DELTA_BINARY_PACKED" in cols["doc_id"].encodings and "DELTA_BINARY_PACKED" in cols["n_tokens"].encodings
+            cols = {m.row_group(g).column(c).path_in_schema: m.row_group(g).column(c) for c in range(4)}
+            assert all("DELTA_BINARY_PACKED" in cols[c].encodings for c in ("doc_id", "n_tokens", "before"))
             assert cols["ids.list.element"].has_dictionary_page and all(c.has_column_index and c.has_offset_index for c in cols.values())
 
 
