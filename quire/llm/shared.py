@@ -8,8 +8,6 @@ session is local, a temporary folder is used; on a cluster an unset folder is an
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,19 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``, or on a local master a temporary folder of this process."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _local:
-        _local.append("file://" + tempfile.mkdtemp(prefix="quire-"))
-    return _local[0]
+from quire.sources.files import shared_path
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -42,7 +28,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.base = shared_path(spark, name)
 
     def write(self, df: DataFrame, table: str, **options) -> DataFrame:
         """Write ``df`` as Parquet and return it as read back; its lineage starts at these files."""

@@ -216,12 +216,26 @@ def encoded(batches: Iterator[pa.RecordBatch], column: int, path: str, end_id: i
         starts = np.flatnonzero(np.diff(np.cumsum(size) // chars, prepend=-1))
         for a, b in zip(starts, np.append(starts[1:], batch.num_rows), strict=True):
             rows = batch.slice(a, b - a)
-            parts = [list(_parts(t or "", 4 * chars, enc.special)) for t in rows.column(column).to_pylist()]
-            ids, ends = enc.encode([p for ps in parts for p in ps])
-            ends = ends[np.cumsum([len(ps) for ps in parts]) - 1]
+            parts = [list(_parts(t or "", chars, enc.special)) for t in rows.column(column).to_pylist()]
+            found = [enc.encode(group) for group in _groups([p for ps in parts for p in ps], chars)]
+            ids, sizes = np.concatenate([i for i, _ in found]), np.concatenate([np.diff(e, prepend=0) for _, e in found])
+            ends = np.cumsum(sizes)[np.cumsum([len(ps) for ps in parts]) - 1]
             yield rows, np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1)
 
 
+def _groups(texts: list[str], chars: int) -> Iterator[list[str]]:
+    """The texts in runs of about ``chars`` characters, so that few are held as arrays at once."""
+    group, size = [], 0
+    for t in texts:
+        group.append(t)
+        size += len(t)
+        if size >= chars:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def _parts(text: str, chars: int, special: list[str]) -> Iterator[str]:
     """The text in parts of at most ``chars``, where it has places to cut."""
     at = 0
