@@ -51,7 +51,8 @@ def line_words(blocks: DataFrame) -> DataFrame:
     placed = blocks.select("*", F.posexplode(words(F.col("text"))).alias("word_no", "word"))
     at = F.instr(F.col("text"), F.col("word")) - 1
     n = F.char_length("text")
-    return placed.select("capture_id", "block_id", F.col("word_no").cast("long").alias("word_no"), "word", F.round(F.col("x") + F.col("w") * at / n, 6).alias("x"), "y", F.round(F.col("w") * F.char_length("word") / n, 6).alias("w"), "h")
+    places = lambda v: F.round(v + 1e-9, 6)  # noqa: E731  half-way values that are a hair off go up too
+    return placed.select("capture_id", "block_id", F.col("word_no").cast("long").alias("word_no"), "word", places(F.col("x") + F.col("w") * at / n).alias("x"), "y", places(F.col("w") * F.char_length("word") / n).alias("w"), "h")
 
 
 def merged_intervals(df: DataFrame, keys: list[str], low: str = "low", high: str = "high") -> DataFrame:

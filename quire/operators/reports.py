@@ -100,7 +100,3 @@ def board(tests: DataFrame, status: str | None = None, category: str | None = No
 def failing(log: DataFrame) -> DataFrame:
     """Names of failing tests, straight from the lines."""
     return log.where(F.trim("line").rlike('^✘ Test "[^"]*" failed')).select("run_id", first_quoted(F.col("line")).alias("name")).distinct()
-
-
-def percent_text(v: Column) -> Column:
-    return F.concat(F.format_number(v, 1), F.lit("%"))

@@ -60,7 +60,7 @@ def figure_label(spark, d):
     return screens.figure_labels(L.table(spark, d, "orders"), "o_custkey", "o_orderkey").select(F.col("o_orderkey").alias("capture_id"), "label")
 
 
-@query("s5_line_words", with_sql("db", ", w AS (SELECT *, list_filter(string_split(text,' '), lambda v: v<>'') AS ws FROM db), u AS (SELECT capture_id, block_id, text, x, y, w, h, unnest(ws) AS word, generate_subscripts(ws,1)::BIGINT-1 AS word_no FROM w) SELECT capture_id, block_id, word_no, word, round(x+w*(instr(text,word)-1)/length(text),6) AS x, y, round(w*length(word)/length(text),6) AS w, h FROM u"))
+@query("s5_line_words", with_sql("db", ", w AS (SELECT *, list_filter(string_split(text,' '), lambda v: v<>'') AS ws FROM db), u AS (SELECT capture_id, block_id, text, x, y, w, h, unnest(ws) AS word, generate_subscripts(ws,1)::BIGINT-1 AS word_no FROM w) SELECT capture_id, block_id, word_no, word, round(x+w*(instr(text,word)-1)/length(text)+1e-9,6) AS x, y, round(w*length(word)/length(text)+1e-9,6) AS w, h FROM u"))
 def line_words(spark, d):
     return reading.line_words(doc_blocks(spark, d))
 
