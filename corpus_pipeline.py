@@ -7,6 +7,7 @@ its predecessor kept. ``run`` does that in the cluster's shared folder.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,11 +62,14 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def cost_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the token sequences, packed among neighbours in the mixture and numbered in its order.
 
-    The order is that of the files that the stage before wrote, and of the rows in them. Null texts are
-    their end id alone; every row is packed, repeated ones too, see ``packing.pack``.
+    The order is that of the files that the stage before wrote, and of the rows in them; documents that were
+    not read from files are packed as they come. Null texts are their end id alone; every row is packed,
+    repeated ones too, see ``packing.pack``.
     """
-    order = F.struct("_metadata.file_name", "_metadata.row_index")
-    rows = docs.select("doc_id", "text", order.alias("place"))
+    try:
+        rows = docs.select("doc_id", "text", F.struct("_metadata.file_name", "_metadata.row_index").alias("place"))
+    except AnalysisException:  # no files, no places
+        return packing.pack(docs, tokenizer_path())
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(parts, "place").sortWithinPartitions("place")
     return packing.pack(rows, tokenizer_path())
