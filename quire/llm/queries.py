@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import html_extract, language, line_dedup, mixing, near_dedup, nearest, order_minhash, packing, quality, tokens
+from quire.llm import html_extract, language, line_dedup, mixing, near_dedup, nearest, order_minhash, packing, quality, runs, simhash, tokens, vector_codes
 from quire.llm.shared import Scratch
 
 
@@ -76,8 +76,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", quality.held_out(folds=4, fold=2).alias("held_out"), "lang_pred", "score", "langs")
 
 
+def op11_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(_table(spark, sf_dir, "documents"))
+
+
+def op12_va_file_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(_table(spark, sf_dir, "documents"), tail=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ann_collision_counting, op2_quality_classifier, op3_minhash_near_dedup, op4_html_extract, op5_cost_packing, op6_order_minhash, op7_token_ids, op8_fuzzy_line_dedup, op9_pfair_mixing, op10_language_id]
+    found = [op1_ann_collision_counting, op2_quality_classifier, op3_minhash_near_dedup, op4_html_extract, op5_cost_packing, op6_order_minhash, op7_token_ids, op8_fuzzy_line_dedup, op9_pfair_mixing, op10_language_id, op11_simhash_bk_tree, op12_va_file_codes, op13_periodic_runs]
     return {f.__name__: f for f in found}
 
 

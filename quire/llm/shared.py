@@ -66,6 +66,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def words_in_parts(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text, split at ASCII white space, in lists of about ``size`` bytes each; no word is cut."""
+    open_word = b""
+    for at in range(0, len(text), size):
+        part = open_word + text[at : at + size]
+        words = part.split()
+        open_word = words.pop() if at + size < len(text) and not part[-1:].isspace() else b""
+        yield words
+
+
 def slots_of(hashes: DataFrame, log2: int = 24) -> bytearray:
     """A bitmap of 2**``log2`` bits with the slot of every ``hash`` of a table set: 2 MB, however many rows.
 
