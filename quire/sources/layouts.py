@@ -71,6 +71,27 @@ def sheets(embeddings: DataFrame) -> DataFrame:
     return p.select("capture_id", "width", "height", "px", "py", r.alias("r"), ((r * 3) % 256).alias("g"), ((r * 7) % 256).alias("b"))
 
 
+def sheet_rows(embeddings: DataFrame) -> DataFrame:
+    """The pages of ``sheets``, a row an image row: capture_id, py, row (the red values from the left). Pages without all tiles are left out."""
+    tile = F.col("vec_id") % 50
+    e = embeddings.where(F.size("embedding") == 64).select((F.col("vec_id") / 50).cast("long").alias("capture_id"), F.floor(tile / 10).cast("int").alias("band"), (tile % 10).alias("nth"), F.transform("embedding", lambda v: F.floor((v.cast("double") + 1) * 127.5).cast("int")).alias("grey"))
+    bands = e.groupBy("capture_id", "band").agg(F.array_sort(F.collect_list(F.struct("nth", "grey"))).alias("tiles")).where("size(tiles) = 10")
+    bands = bands.withColumn("bands", F.count("*").over(Window.partitionBy("capture_id"))).where("bands = 5")
+    rows = bands.select("capture_id", F.transform("tiles", lambda t: t["grey"]).alias("tiles"), (F.col("band") * 64).alias("top"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("dy")).withColumn("py", F.col("top") + F.col("dy"))
+    value = lambda px: F.get(F.get("tiles", F.floor(px / 64).cast("int")), (F.floor(F.col("dy") / 8) * 8 + F.floor(px % 64 / 8)).cast("int")) + (px * 3 + F.col("py") * 5) % 16
+    row = F.transform(F.sequence(F.lit(0), F.lit(639)), lambda px: F.when((px < 24) | (F.col("py") >= 300), 250).otherwise(value(px)).cast("int"))
+    return rows.select("capture_id", F.col("py").cast("long").alias("py"), row.alias("row"))
+
+
+def scrolled(sheet_rows: DataFrame, height: int = 120, page: int = 320) -> DataFrame:
+    """Frames of a scrolling capture of each page: ``height`` rows, a step of 40 to 100 rows by capture, to the end of the page."""
+    step = 40 + F.col("capture_id") % 4 * 20
+    last = F.ceil((page - height) / step)
+    first = F.greatest(F.lit(0), F.ceil((F.col("py") - (height - 1)) / step))
+    frames = sheet_rows.withColumn("frame", F.explode(F.sequence(first.cast("long"), F.least(last, F.floor(F.col("py") / step)).cast("long"))))
+    return frames.select("capture_id", "frame", (F.col("py") - F.col("frame") * step).alias("py"), "row")
+
+
 def overlay_events(events: DataFrame) -> DataFrame:
     """Edits of overlays, from user events in the order of their time."""
     op = F.when(F.col("event_type") == "click", "select").when(F.col("event_type") == "purchase", "toggle").when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "error", "delete").otherwise("move")
