@@ -5,6 +5,10 @@ Both sides of a comparison can compute these by exact arithmetic; doubles come f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -92,6 +96,25 @@ def scrolled(sheet_rows: DataFrame, height: int = 120, page: int = 320) -> DataF
     return frames.select("capture_id", "frame", (F.col("py") - F.col("frame") * step).alias("py"), "row")
 
 
+def packed(values: DataFrame, grey: bool = False) -> DataFrame:
+    """Packed images of ``values`` (capture_id, width, height, grey: numbers row by row), coloured as in ``pixels`` or left grey."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = [np.asarray(v.values).astype(np.int64) for v in batch.column(3)]
+            planes = [pa.array([(v * k % 256).astype(np.uint8).tobytes() for v in flat], pa.binary()) for k in ((1, 1, 1) if grey else (1, 3, 7))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *planes], ["capture_id", "width", "height", "r", "g", "b"])
+
+    longs = (F.col(c).cast("long").alias(c) for c in ("capture_id", "width", "height"))
+    return values.select(*longs, "grey").mapInArrow(run, "capture_id long, width long, height long, r binary, g binary, b binary")
+
+
+def packed_sheets(embeddings: DataFrame, grey: bool = False) -> DataFrame:
+    """The pages of ``sheets``, a row a page."""
+    rows = sheet_rows(embeddings).groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("py", "row"))).alias("rows"))
+    return packed(rows.select("capture_id", F.lit(640).alias("width"), F.lit(320).alias("height"), F.flatten(F.transform("rows", lambda r: r["row"])).alias("grey")), grey)
+
+
 def overlay_events(events: DataFrame) -> DataFrame:
     """Edits of overlays, from user events in the order of their time."""
     op = F.when(F.col("event_type") == "click", "select").when(F.col("event_type") == "purchase", "toggle").when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "error", "delete").otherwise("move")
