@@ -336,53 +336,53 @@ def masked(images: DataFrame, rule: Callable[[np.ndarray], np.ndarray]) -> DataF
     return per_image(images, ["capture_id", "width", "height"], kernel, "mask binary")
 
 
-def filled(image: np.ndarray, mask: np.ndarray, close: float = 1e-18) -> np.ndarray:
+def filled(image: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Retouching substitute: masked pixels become the harmonic surface over the pixels around them.
 
     Every masked pixel is the mean of its neighbours in the image, so each masked component depends on its own
-    ring alone and a linear ramp comes back exactly. The equations are solved by conjugate gradients; values
-    half-way between two numbers go up. An image without an unmasked pixel stays as it is.
+    ring alone and a linear ramp comes back exactly. Values half-way between two numbers go up. An image
+    without an unmasked pixel stays as it is.
     """
-    y, x = np.nonzero(mask)
     out = image.copy()
-    if not len(y) or len(y) == mask.size:
+    if mask.all():
         return out
-    h, w = mask.shape
-    place = np.full((h, w), -1)
-    place[y, x] = np.arange(len(y))
-    degree, known, near = np.zeros(len(y)), np.zeros((len(y), 3)), []
-    for dx, dy in ((-1, 0), (1, 0), (0, -1), (0, 1)):
-        ny, nx = y + dy, x + dx
-        there = (ny >= 0) & (nx >= 0) & (ny < h) & (nx < w)
-        at = np.flatnonzero(there)
-        degree[at] += 1
-        other = place[ny[at], nx[at]]
-        fixed = at[other < 0]
-        known[fixed] += image[ny[fixed], nx[fixed]]
-        near.append((at[other >= 0], other[other >= 0]))
-
-    def times(v: np.ndarray) -> np.ndarray:
-        r = degree[:, None] * v
-        for a, b in near:
-            r[a] -= v[b]
-        return r
-
-    ring = image[~mask].mean(axis=0)
-    v = np.tile(ring, (len(y), 1))
-    r = known - times(v)
-    d, size = r.copy(), (r * r).sum(axis=0)
-    for _ in range(4 * len(y) + 100):
+    for y, x in components(mask, 1):
+        y1, y2, x1, x2 = (int(v) for v in (max(0, y.min() - 1), y.max() + 2, max(0, x.min() - 1), x.max() + 2))
+        part, own = image[y1:y2, x1:x2].astype(float), np.zeros((min(y2, mask.shape[0]) - y1, min(x2, mask.shape[1]) - x1), bool)
+        own[y - y1, x - x1] = True
+        out[y, x] = np.clip(np.floor(_harmonic(part, own)[own] + 0.5 + 1e-6), 0, 255).astype(np.uint8)
+    return out
+
+
+def _neighbours(v: np.ndarray) -> np.ndarray:
+    """The sum of each pixel's neighbours in the array."""
+    out = np.zeros_like(v)
+    out[1:] += v[:-1]
+    out[:-1] += v[1:]
+    out[:, 1:] += v[:, :-1]
+    out[:, :-1] += v[:, 1:]
+    return out
+
+
+def _harmonic(part: np.ndarray, own: np.ndarray, close: float = 1e-18) -> np.ndarray:
+    """The equations of one masked component (``own``), by conjugate gradients; what lies outside it is given."""
+    inside = own[:, :, None].astype(float)
+    degree = _neighbours(np.ones(own.shape))[:, :, None]
+    times = lambda v: inside * (degree * v - _neighbours(v))
+    v = inside * part[~own].mean(axis=0)
+    r = inside * _neighbours((1 - inside) * part) - times(v)
+    d, size = r.copy(), (r * r).sum(axis=(0, 1))
+    for _ in range(4 * int(own.sum()) + 100):
         if size.max() <= close:
             break
         q = times(d)
-        step = size / np.maximum((d * q).sum(axis=0), 1e-300)
+        step = size / np.maximum((d * q).sum(axis=(0, 1)), 1e-300)
         v += step * d
         r -= step * q
-        new = (r * r).sum(axis=0)
+        new = (r * r).sum(axis=(0, 1))
         d = r + new / np.maximum(size, 1e-300) * d
         size = new
-    out[y, x] = np.clip(np.floor(v + 0.5 + 1e-6), 0, 255).astype(np.uint8)
-    return out
+    return v
 
 
 def harmonic_fill(images: DataFrame, masks: DataFrame) -> DataFrame:
