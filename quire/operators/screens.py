@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import geometry as g
+from quire.operators import relations
 
 # Classes of a layout model.
 FIGURE_CLASSES = ["figure", "table"]
@@ -56,12 +57,16 @@ def layout_figures(detections: DataFrame, least: float = 0.15) -> DataFrame:
     return detections.where((F.col("confidence") >= least) & F.col("class_name").isin(FIGURE_CLASSES))
 
 
-def instance_regions(masks: DataFrame, least_area: float = 0.03) -> DataFrame:
-    """Boxes of instance masks given as pixels (capture_id, instance, px, py, width, height), bottom-left, large ones only."""
+def instance_regions(masks: DataFrame, texts: DataFrame, least_area: float = 0.03, most_text: float = 0.4) -> DataFrame:
+    """Boxes of instance masks given as pixels (capture_id, instance, px, py, width, height), bottom-left.
+
+    Small ones go, and so do those of which texts cover ``most_text`` or more.
+    """
     box = masks.groupBy("capture_id", "instance").agg(F.min("px").alias("x1"), F.min("py").alias("y1"), (F.max("px") + 1).alias("x2"), (F.max("py") + 1).alias("y2"), F.first("width").alias("width"), F.first("height").alias("height"))
     w, h = F.col("width"), F.col("height")
     r = g.Rect(F.col("x1") / w, 1 - F.col("y2") / h, (F.col("x2") - F.col("x1")) / w, (F.col("y2") - F.col("y1")) / h)
-    return box.select("capture_id", "instance", *r.named()).where(F.round(F.col("w") * F.col("h"), 9) >= least_area)
+    large = box.select("capture_id", "instance", *r.named()).where(F.round(F.col("w") * F.col("h"), 9) >= least_area)
+    return relations.text_free(large, texts, most_text, "instance").drop("text_overlap")
 
 
 def figure_labels(df: DataFrame, key: str, order: str) -> DataFrame:

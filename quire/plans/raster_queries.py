@@ -358,11 +358,14 @@ def fallback_pass(spark, d):
     return none.withColumn("pass", F.lit("fallback")).unionByName(main.withColumn("pass", F.lit("main")))
 
 
-@query("s7_instance_regions", with_sql("pix", "SELECT capture_id, min(px)/8.0::DOUBLE AS x, 1-(max(py)+1)/8.0::DOUBLE AS y, (max(px)+1-min(px))/8.0::DOUBLE AS w, (max(py)+1-min(py))/8.0::DOUBLE AS h FROM pix WHERE r>140 GROUP BY 1 HAVING (max(px)+1-min(px))*(max(py)+1-min(py))/64.0>=0.03"))
+@query("s7_instance_regions", with_sql("pix", TXT + """, ib AS (SELECT capture_id, inst, min(px)/8.0::DOUBLE AS x, 1-(max(py)+1)/8.0::DOUBLE AS y, (max(px)+1-min(px))/8.0::DOUBLE AS w, (max(py)+1-min(py))/8.0::DOUBLE AS h FROM (SELECT *, (px//4)*2+py//4 AS inst FROM pix WHERE r>140) GROUP BY 1,2)
+SELECT ib.capture_id, inst AS instance, ib.x, ib.y, ib.w, ib.h FROM ib JOIN txt USING (capture_id) WHERE ib.w*ib.h>=0.03 AND round(greatest(0,least(ib.x+ib.w,txt.x+txt.w)-greatest(ib.x,txt.x))*greatest(0,least(ib.y+ib.h,txt.y+txt.h)-greatest(ib.y,txt.y))/(ib.w*ib.h),9)<0.4"""))
 def instance_regions(spark, d):
+    """Bright pixels of each quarter of an image as one instance."""
     from quire.operators import screens
 
-    return screens.instance_regions(pixels(spark, d).where("r > 140").withColumn("instance", F.lit(0))).select("capture_id", "x", "y", "w", "h")
+    quarter = F.floor(F.col("px") / 4) * 2 + F.floor(F.col("py") / 4)
+    return screens.instance_regions(pixels(spark, d).where("r > 140").withColumn("instance", quarter), texts(spark, d))
 
 
 # ---- images of a page's size, on which samples are taken at strides

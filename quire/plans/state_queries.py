@@ -12,7 +12,7 @@ from quire.plans.raster_queries import TXT, pixel_boxes, pixels
 from quire.plans.registry import query
 from quire.sources import layouts as L
 from quire.sources.layouts import with_sql
-from quire.streaming import folds
+from quire.streaming import folds, sessions
 
 
 def events(spark, d):
@@ -24,6 +24,9 @@ def events(spark, d):
 EV = "ev AS (SELECT user_id AS capture_id, event_id%5 AS overlay_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'select' WHEN 'purchase' THEN 'toggle' WHEN 'signup' THEN 'add' WHEN 'error' THEN 'delete' ELSE 'move' END AS op, ts FROM events)"
 
 
+CLASSES = ["overlay", "edgeOverlay", "uncertain", "pageText"]
+
+
 def simple(spark, d):
     """Five overlays a page: figures at even places, texts of two blocks at odd ones."""
     c = L.table(spark, d, "events").select(F.col("user_id").cast("long").alias("capture_id")).distinct()
@@ -33,6 +36,7 @@ def simple(spark, d):
     return o.select(
         "capture_id", "overlay_id", F.when(text, "text").otherwise("figure").alias("kind"), (i * 0.1 + 0.05).alias("x"), (i * 0.15).alias("y"), F.lit(0.3).alias("w"), F.lit(0.2).alias("h"), ((F.col("capture_id") + i) % 3 == 0).alias("is_excluded"),
         F.when(~text, (i / 2).cast("int")).alias("source_figure_index"), F.when(text, F.array(i, i + 1)).otherwise(F.array().cast("array<bigint>")).alias("source_text_block_ids"), F.when(text, i - 1).alias("associated_figure_overlay_id"),
+        F.when(text, F.element_at(F.array(*map(F.lit, CLASSES)), (F.col("capture_id") % 4 + 1).cast("int"))).alias("classification"),
     )
 
 
@@ -116,7 +120,7 @@ def filtered_text(spark, d):
     return O.filtered_text(page_blocks(spark, d), simple(spark, d))
 
 
-@query("o12_rebuild_plan", f"WITH {SIMPLE}, {BLK}, i AS (SELECT capture_id, overlay_id-1 AS figure_overlay_id, overlay_id AS block_id FROM si WHERE kind='text' AND is_excluded UNION SELECT capture_id, overlay_id-1, overlay_id+1 FROM si WHERE kind='text' AND is_excluded) SELECT capture_id, figure_overlay_id, count(*) AS blocks, string_agg(block_id, ',' ORDER BY block_id) AS block_ids, round(min(x),6) AS x, round(min(y),6) AS y FROM i JOIN bk USING (capture_id, block_id) GROUP BY 1,2")
+@query("o12_rebuild_plan", f"WITH {SIMPLE}, {BLK}, i AS (SELECT capture_id, overlay_id-1 AS figure_overlay_id, overlay_id AS block_id FROM si WHERE kind='text' AND is_excluded AND capture_id%4<2 UNION SELECT capture_id, overlay_id-1, overlay_id+1 FROM si WHERE kind='text' AND is_excluded AND capture_id%4<2) SELECT capture_id, figure_overlay_id, count(*) AS blocks, string_agg(block_id, ',' ORDER BY block_id) AS block_ids, round(min(x),6) AS x, round(min(y),6) AS y FROM i JOIN bk USING (capture_id, block_id) GROUP BY 1,2")
 def rebuild_plan(spark, d):
     return O.rebuild_plan(simple(spark, d), page_blocks(spark, d)).withColumn("block_ids", F.array_join("block_ids", ","))
 
@@ -160,10 +164,23 @@ def overlay_state(spark, d):
     return folds.overlay_states(events(spark, d))
 
 
-@query("st3_changed_reports", "SELECT DISTINCT user_id AS report, event_id//50 AS stamp FROM events")
+@query("st2_edit_sessions", fold_sql.sessions(SIMPLE, EV))
+def edit_sessions(spark, d):
+    return sessions.replayed(session_events(spark, d))
+
+
+def session_events(spark, d):
+    """The overlays of every page put in place, then its events."""
+    e, o, none = events(spark, d), simple(spark, d), F.lit(None).cast("double")
+    first = e.groupBy("capture_id").agg(F.min("ts").alias("ts"))
+    placed = o.join(first, "capture_id").select("capture_id", "overlay_id", (F.col("overlay_id") - 5).alias("seq"), F.lit("place").alias("op"), "ts", none.alias("dx"), none.alias("dy"), *(F.col(k).cast("double").alias(k) for k in "xywh"))
+    return placed.unionByName(e.select("capture_id", "overlay_id", "seq", "op", "ts", "dx", "dy", *(none.alias(k) for k in "xywh")))
+
+
+@query("st3_changed_reports", "SELECT report, seq, stamp FROM (SELECT user_id AS report, event_id AS seq, event_id//50%3 AS stamp, lag(event_id//50%3) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR stamp<>before")
 def changed_reports(spark, d):
-    polls = L.table(spark, d, "events").select(F.col("user_id").alias("report"), F.floor(F.col("event_id") / 50).alias("stamp"), "ts")
-    return folds.changed_reports(polls).select("report", "stamp")
+    polls = L.table(spark, d, "events").select(F.col("user_id").alias("report"), F.col("event_id").alias("seq"), (F.floor(F.col("event_id") / 50) % 3).alias("stamp"), "ts")
+    return sessions.changed_reports(polls)
 
 
 @query("st4_scroll_progress", "SELECT user_id AS capture_id, max(event_id)::BIGINT AS frames, max(total)::BIGINT AS total, CASE WHEN max(total)>0 THEN max(event_id)/max(total)::DOUBLE END AS ratio FROM (SELECT *, CASE WHEN user_id%3=0 THEN NULL WHEN user_id%3=1 THEN 0 ELSE 100000 END AS total FROM events) GROUP BY 1")

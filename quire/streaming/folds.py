@@ -33,13 +33,6 @@ def edits_by_window(events: DataFrame, late: str = "10 minutes", every: str = "1
     return seen.groupBy(F.window("ts", every).alias("w"), "op").agg(F.count("*").alias("edits")).select(F.col("w.start").alias("from_ts"), "op", "edits")
 
 
-def changed_reports(polls: DataFrame, late: str = "1 minute") -> DataFrame:
-    """Of polled reports (report, stamp, ts) one for each new stamp: a poll that finds nothing new is dropped."""
-    if polls.isStreaming:
-        return polls.withWatermark("ts", late).dropDuplicatesWithinWatermark(["report", "stamp"])
-    return polls.dropDuplicates(["report", "stamp"])
-
-
 def progress(frames: DataFrame) -> DataFrame:
     """How far each scrolling capture is: null while the total is unknown or zero."""
     return frames.groupBy("capture_id").agg(F.max("frame").alias("frames"), F.max("estimated_total").alias("total")).withColumn("ratio", F.when(F.col("total") > 0, F.col("frames") / F.when(F.col("total") > 0, F.col("total"))))
