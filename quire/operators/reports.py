@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,31 +24,54 @@ def iso_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def _with_suites(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (run_id, line_no, kind, name, status), sorted, as a stream: tests with the suite that is open around them.
+
+    An end closes all open suites of its name. Open suites stand on a stack with the number of their start; one
+    that was closed since is dropped when it comes to the top, so every row costs a constant time on average.
+    """
+    run, stack, closed, nth = object(), [], {}, 0
+    for batch in batches:
+        out = {"line_no": [], "name": [], "suite": [], "status": []}
+        runs = []
+        for of, line_no, kind, name, status in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if of != run:
+                run, stack, closed = of, [], {}
+            nth += 1
+            if kind == "start":
+                stack.append((name, nth))
+            elif kind == "end":
+                closed[name] = nth
+            else:
+                while stack and closed.get(stack[-1][0], 0) > stack[-1][1]:
+                    stack.pop()
+                runs.append(of)
+                for k, v in zip(out, (line_no, name, stack[-1][0] if stack else "", status), strict=True):
+                    out[k].append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(runs, batch.schema.types[0]), pa.array(out["line_no"], pa.int64()), *(pa.array(out[k], pa.string()) for k in ("name", "suite", "status"))], ["run_id", *out])
+
+
 def parsed(log: DataFrame) -> DataFrame:
     """``run_id, line_no, name, suite, status, message`` of each test, from ``log`` (run_id, line_no, line).
 
     A test counts where its name first has a result. Its suite is the last one started and not ended before
-    it. Failed tests carry all their recorded failures, joined by semicolons.
+    it. Failed tests carry all their recorded failures, joined by semicolons. The lines about suites and tests
+    of a run pass in order as a stream, once; no two lines of a run are joined.
     """
-    w = Window.partitionBy("run_id").orderBy("line_no")
-    d = log.withColumn("t", F.trim("line")).withColumn("name", first_quoted(F.col("t")))
-    is_suite = F.contains("t", F.lit('Suite "'))
-    suites = d.where(is_suite & F.col("name").isNotNull())
-    ended = ~F.contains("t", F.lit("started")) & (F.contains("t", F.lit("passed")) | F.contains("t", F.lit("failed")))
-    starts = suites.where(F.contains("t", F.lit("started"))).select("run_id", F.col("name").alias("suite"), F.col("line_no").alias("from_no"))
-    ends = suites.where(ended).select("run_id", F.col("name").alias("suite"), F.col("line_no").alias("end_no"))
-    spans = starts.join(ends, ["run_id", "suite"], "left").groupBy("run_id", "suite", "from_no").agg(F.min(F.when(F.col("end_no") > F.col("from_no"), F.col("end_no"))).alias("to_no"))
-    glyph = F.substr("t", F.lit(1), F.lit(1))
-    status = F.when(glyph == "➜", "SKIP").when(F.contains("t", F.lit("passed")), "PASS").when(F.contains("t", F.lit("failed")), "FAIL").when(F.contains("t", F.lit("skipped")), "SKIP")
-    tests = d.where(~is_suite & glyph.isin("➜", "✔", "✘") & F.contains("t", F.lit('Test "')) & F.col("name").isNotNull()).withColumn("status", status).where("status IS NOT NULL")
-    tests = tests.withColumn("nth", F.row_number().over(Window.partitionBy("run_id", "name").orderBy("line_no"))).where("nth = 1").select("run_id", "line_no", "name", "status")
-    met = tests.join(spans, "run_id").where("from_no < line_no AND (to_no IS NULL OR to_no > line_no)")
-    of = met.groupBy("run_id", "name").agg(F.max(F.struct("from_no", "suite")).alias("m")).select("run_id", "name", F.col("m.suite").alias("suite"))
-    issue = d.where((glyph == "✘") & F.contains("t", F.lit("recorded an issue")) & F.contains("t", F.lit("Expectation failed:")) & F.col("name").isNotNull())
+    d = log.withColumn("t", F.trim("line")).withColumn("name", first_quoted(F.col("t"))).where("name IS NOT NULL")
+    says = lambda part: F.contains("t", F.lit(part))
+    suite, glyph = says('Suite "'), F.substr("t", F.lit(1), F.lit(1))
+    status = F.when(glyph == "➜", "SKIP").when(says("passed"), "PASS").when(says("failed"), "FAIL").when(says("skipped"), "SKIP")
+    test = glyph.isin("➜", "✔", "✘") & says('Test "') & status.isNotNull()
+    kind = F.when(suite & says("started"), "start").when(suite & (says("passed") | says("failed")), "end").when(~suite & test, "test")
+    rows = d.select("run_id", F.col("line_no").cast("long").alias("line_no"), kind.alias("kind"), "name", status.alias("status")).where("kind IS NOT NULL")
+    found = rows.repartition("run_id").sortWithinPartitions("run_id", "line_no").mapInArrow(_with_suites, f"run_id {log.schema['run_id'].dataType.simpleString()}, line_no long, name string, suite string, status string")
+    tests = found.groupBy("run_id", "name").agg(F.min(F.struct("line_no", "suite", "status")).alias("m")).select("run_id", "name", "m.line_no", "m.suite", "m.status")
+    issue = d.where((glyph == "✘") & says("recorded an issue") & says("Expectation failed:"))
     told = issue.select("run_id", "name", "line_no", F.expr("substr(t, instr(t, 'Expectation failed:'))").alias("said"))
     told = told.groupBy("run_id", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "said"))), lambda s: s["said"]), "; ").alias("message"))
-    out = tests.join(of, ["run_id", "name"], "left").join(told, ["run_id", "name"], "left")
-    return out.select("run_id", "line_no", "name", F.coalesce("suite", F.lit("")).alias("suite"), "status", F.when(F.col("status") == "FAIL", F.col("message")).alias("message"))
+    out = tests.join(told, ["run_id", "name"], "left")
+    return out.select("run_id", "line_no", "name", "suite", "status", F.when(F.col("status") == "FAIL", F.col("message")).alias("message"))
 
 
 def enriched(tests: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import geometry as g
+from quire.functions.text import prefix
 from quire.operators import captures, reading, regions, relations, screens
 from quire.plans import fold_sql
 from quire.plans.geometry_queries import BOTH, KEY, OX, REL, blocks, figures, one_figure
@@ -50,9 +51,11 @@ def word_count(spark, d):
     return doc_blocks(spark, d).groupBy("capture_id").agg(F.sum(F.size(reading.words(F.col("text")))).alias("words"))
 
 
-@query("t3_label_prefix", with_sql("db", "SELECT capture_id, block_id, substr(text,1,40) AS label40, substr(text,1,30) AS label30 FROM db"))
+@query("t3_label_prefix", with_sql("db", "SELECT capture_id, block_id, left_grapheme(text||'é👨‍👩‍👧', 40) AS label40, left_grapheme(text||'🇳🇱', 30) AS label30 FROM db"))
 def label_prefix(spark, d):
-    return doc_blocks(spark, d).select(*KEY, F.substr("text", F.lit(1), F.lit(40)).alias("label40"), F.substr("text", F.lit(1), F.lit(30)).alias("label30"))
+    """The texts with a combined letter, a joined emoji or a flag behind them, cut at 40 and 30 characters."""
+    cut = lambda mark, n: prefix(F.concat("text", F.lit(mark)), n).alias(f"label{n}")
+    return doc_blocks(spark, d).select(*KEY, cut("é👨‍👩‍👧", 40), cut("🇳🇱", 30))
 
 
 @query("t4_figure_label", "SELECT o_orderkey AS capture_id, 'Figure ' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS label FROM orders")

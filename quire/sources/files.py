@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 COVERAGE = "data array<struct<files: array<struct<filename: string, summary: struct<lines: struct<count: bigint, covered: bigint, percent: double>>>>>>"
 CATALOG = "map<string, struct<category: string, description: string>>"
@@ -27,9 +28,17 @@ def _run() -> Column:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """``run_id, line_no, line``: a run a file. Lines are numbered inside each file, which is read as one row."""
-    d = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(_run(), F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line_no", "line"))
-    return d.withColumn("line_no", F.col("line_no").cast("long"))
+    """``run_id, line_no, line``: a run a file, its lines numbered from 0.
+
+    Files are read in splits. A line's place in its split comes from the order in which the split is read, and
+    the lines of the splits before it from a running sum over a file's split counts, so a file of any size is
+    spread over tasks and no file is ever a row. Lines end at a line feed, a carriage return, or both.
+    """
+    lines = spark.read.text(path, recursiveFileLookup=True).select(_run(), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first"))
+    return lines.join(splits, ["file", "block"]).select("run_id", (F.col("at") + F.col("before")).alias("line_no"), "line")
 
 
 def read_coverage(spark: SparkSession, path: str) -> DataFrame:
