@@ -173,10 +173,10 @@ def tree_links(spark: SparkSession, scratch: Scratch, marks: DataFrame, radius:
     """
     kind = "mark long, mask long, last boolean, hash long"
     splits = F.broadcast(spark.createDataFrame(bit_splits(radius), "mask long, finer long, last boolean"))  # 363 rows at radius 2
-    rows, found = marks.select("mark", F.lit(0).cast("long").alias("mask")), None
+    first = F.array(*(F.struct(F.lit(f).alias("mask"), F.lit(last).alias("last")) for m, f, last in bit_splits(radius) if m == 0))
+    rows, found = marks.select("mark", F.inline(first)), None
     level, more = 0, True
     while more:
-        rows = rows.join(splits, "mask").select("mark", F.col("finer").alias("mask"), "last")
         rows = rows.withColumn("hash", F.xxhash64("mask", F.col("mark").bitwiseAND(F.col("mask"))))
         sizes = scratch.write(rows.groupBy("hash").agg(F.count("*").alias("n"), F.first("last").alias("last")).where("n > 1"), f"sizes-{level}")
         large = sizes.where(~F.col("last") & (F.col("n") > SHARD)).select("hash")
@@ -186,7 +186,8 @@ def tree_links(spark: SparkSession, scratch: Scratch, marks: DataFrame, radius:
         found = links if found is None else found.union(links)
         more = not large.isEmpty()
         if more:
-            rows = scratch.write(rows.mapInArrow(_choose(shared, wide, True), kind).select("mark", "mask"), f"split-{level}")
+            split = scratch.write(rows.mapInArrow(_choose(shared, wide, True), kind).select("mark", "mask"), f"split-{level}")
+            rows = split.join(splits, "mask").select("mark", F.col("finer").alias("mask"), "last")
         level += 1
     return found
 
