@@ -10,8 +10,10 @@ never becomes all its pairs:
    pairs whose collision-corrected estimate from bit counts is too low go; the rest are confirmed on the
    full sets, and confirmed links are joined into components;
 2. only in buckets that still hold several components, the pairs across components are estimated and
-   confirmed (``shared.across``): as rows in buckets of up to 64, block against piece in wider ones. Pairs
-   inside a component need no second look, as the result is the component.
+   confirmed (``shared.across``): as rows in buckets of up to 64, block against piece in wider ones. Before
+   that, buckets of more than 64 are exchanged for buckets of rare shingles (``shared.narrowed``), which
+   loses no link and keeps texts apart that only have a template in common. Pairs inside a component need no
+   second look, as the result is the component.
 
 The work so follows the pairs that share a bucket, not the clusters that buckets chain together. The
 estimate's cut is 4.5 standard deviations below the threshold, so it only spares exact checks.
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import Scratch, across, components, first_pairs, in_slots, met, slices, slots_of
+from quire.llm.shared import Scratch, across, components, first_pairs, in_slots, met, narrowed, slices, slots_of
 
 MINIMA, BITS, BANDS, ROWS = 256, 4, 24, 4
 FEW, LEFT, RIGHT = 64, 256, 512
@@ -120,6 +122,10 @@ def _sets(k: int, slots):
     return run
 
 
+def _unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+
+
 def _close(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +215,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     tested = scratch.write(first_pairs(meeting), "pairs-1")
     links = scratch.write(confirmed(likely(tested)), "links-1")
     comp = components(scratch, links, "cc-1")
-    pairs, blocks = across(meeting, comp, FEW, LEFT, RIGHT)
+    narrow, least = narrowed(scratch, meeting, comp, sets.select("id", "shingles"), _unpacked, percent, FEW)
+    pairs, blocks = across(narrow, comp, FEW, LEFT, RIGHT, least)
     more = confirmed(likely(pairs.join(tested, ["a", "b"], "left_anti")))
     wide = blocks.join(heads.select("id", "sig"), "id").join(sets, "id").groupBy("band", "block", "piece").applyInArrow(_across(cut, percent), "a long, b long")
     # the first components as stars, and what joins them
@@ -224,6 +231,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     named = scratch.write(classes.join(least, "key", "left").select("key", F.coalesce("least", "rep").alias("component_id")), "named")
     scratch.keep_only("sigs", "named")
     scratch.sweep()
-    out = sigs.select("doc_id", "text_hash", "n", "key").join(named, "key", "left")
+    row = sigs.select("doc_id", "text_hash", "n", "key")
+    out = row.where("key IS NOT NULL").join(named, "key", "left")
+    out = out.unionByName(row.where("key IS NULL"), allowMissingColumns=True)  # texts without words meet nothing
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -143,15 +143,69 @@ def first_pairs(met: DataFrame) -> DataFrame:
     return star.union(chain).distinct()
 
 
-def across(met: DataFrame, comp: DataFrame, few: int, left: int, right: int) -> tuple[DataFrame, DataFrame]:
+def _rarest_first(unpack: Callable[[pa.RecordBatch], list[np.ndarray]], slots, percent: int):
+    """Rows of sets to ``band, id``: each set's shingles that are not among the frequent ones, then those, as many as can start a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            bands, size = [np.empty(0, np.int64)], []
+            for s in unpack(batch):
+                s = s.view(np.int64)
+                frequent = in_slots(slots.value, s)
+                head = len(s) + percent * len(s) // -100 + 1
+                bands.append(np.concatenate((s[~frequent], s[frequent]))[:head])
+                size.append(len(bands[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bands)), pa.array(np.repeat(batch.column(0).to_numpy(), size))], ["band", "id"])
+
+    return run
+
+
+def _counted(unpack: Callable[[pa.RecordBatch], list[np.ndarray]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            h, n = np.unique(np.concatenate([np.empty(0, np.uint64), *unpack(batch)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
+
+    return run
+
+
+def narrowed(scratch: Scratch, meeting: DataFrame, comp: DataFrame, sets: DataFrame, unpack: Callable[[pa.RecordBatch], list[np.ndarray]], percent: int, few: int) -> tuple[DataFrame, int]:
+    """``meeting`` with bands of more than ``few`` ids in several components replaced by bands of rare shingles.
+
+    Texts that share a template meet in the same bands without being alike. A set of n shingles that is alike
+    another at ``percent`` shares at least ceil(n * percent / 100) of its shingles, so under any one order of
+    all shingles the first that both have is among the first n - ceil(n * percent / 100) + 1 of each. The order
+    puts shingles last that more than ``few`` of the sets in such bands have (told by a bitmap of 2 MB; a shingle
+    that only shares a bit with one comes later too, which changes no result). So ids that could be alike
+    still meet, and what a template shares brings nobody together while it is less than that share.
+
+    ``sets``: a row a set, ``id`` first; ``unpack`` gives the sets of a batch. Also returns how many ids a band
+    needs for ``across`` to look at it.
+    """
+    wide = meeting.where(F.col("nth") == few).select("band")
+    member = meeting.select("band", "id").join(wide, "band", "left_semi").join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = member.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band")
+    several = scratch.write(several, "several")
+    if several.isEmpty():
+        return meeting.join(wide, "band", "left_anti"), 4
+    crowd = scratch.write(meeting.select("band", "id").join(several, "band", "left_semi").select("id").distinct(), "crowd")
+    held = scratch.write(sets.join(crowd, "id", "left_semi").select(sets.columns), "held")
+    counts = held.mapInArrow(_counted(unpack), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    slots = scratch.spark.sparkContext.broadcast(slots_of(counts.where(F.col("n") > few).select("hash")))
+    rare = met(held.mapInArrow(_rarest_first(unpack, slots, percent), "band long, id long"))
+    return scratch.write(meeting.join(wide, "band", "left_anti").union(rare), "narrow"), 2
+
+
+def across(met: DataFrame, comp: DataFrame, few: int, left: int, right: int, least: int = 4) -> tuple[DataFrame, DataFrame]:
     """All pairs of ids that meet in a band and are in different components of ``comp(node, component)``, in two forms.
 
     Bands of at most ``few`` ids give rows ``a, b``: less than ``few`` / 2 for each row of ``met``. Of wider
     bands, the ids outside the band's largest component, in blocks of about ``left``, meet all ids of the
     band, in pieces of about ``right``: rows ``id, comp, band, block, piece, side`` (0: block, 1: piece), to be
-    grouped by band, block and piece. Bands of up to three ids are left out: ``first_pairs`` has all of theirs.
+    grouped by band, block and piece. Bands of less than ``least`` ids are left out: ``first_pairs`` has all
+    pairs of up to three.
     """
-    wide = met.where("nth = 3").select("band")
+    wide = met.where(F.col("nth") == least - 1).select("band")
     member = met.select("band", "id").join(wide, "band", "left_semi").join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
     member = member.select("band", "id", F.coalesce("component", "id").alias("comp"))
     parts = member.groupBy("band", "comp").agg(F.count("*").alias("n"))
