@@ -40,7 +40,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), k=4)
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), k=4).drop("text_hash")
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,5 +93,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: All pairs of documents that share a shingle, counted in full, and who reaches whom over links.
+NEAR_SQL = r"""WITH RECURSIVE wd AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w)=0 THEN [] WHEN len(w)<4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w)-2), lambda i: w[i]||' '||w[i+1]||' '||w[i+2]||' '||w[i+3]) END) AS s FROM wd),
+sz AS MATERIALIZED (SELECT doc_id, len(s)::BIGINT AS n FROM sh), one AS MATERIALIZED (SELECT doc_id, hash(unnest(s)) AS h FROM sh),
+lk AS MATERIALIZED (SELECT c.a, c.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM one x JOIN one y ON x.h=y.h AND x.doc_id<>y.doc_id GROUP BY 1,2) c JOIN sz p ON p.doc_id=a JOIN sz q ON q.doc_id=b WHERE 100*c.n>=80*(p.n+q.n-c.n)),
+rc(doc_id, root) AS (SELECT doc_id, doc_id FROM sz UNION SELECT lk.b, rc.root FROM rc JOIN lk ON lk.a=rc.doc_id WHERE rc.root<lk.b)
+SELECT sz.doc_id, n AS n_shingles, min(root) AS component_id, min(root)=sz.doc_id AS kept FROM sz JOIN rc USING (doc_id) GROUP BY sz.doc_id, n"""
+
+
+def _codes_sql() -> str:
+    """The rounds of ``vector_codes`` one after the other: all distances, the nearest entry, integer means."""
+    ctes = [
+        "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096*x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))=0)",
+        "pc AS MATERIALIZED (SELECT vec_id, ix//(n//8) AS part, ix%(n//8) AS pos, x FROM (SELECT vec_id, len(v) AS n, unnest(v) AS x, unnest(range(len(v))) AS ix FROM v))",
+        "b0 AS MATERIALIZED (SELECT part, entry, pos, x AS c FROM pc JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id)-1 AS entry FROM v ORDER BY vec_id LIMIT 16) USING (vec_id))",
+    ]
+    for k in range(vector_codes.ROUNDS + 1):
+        ctes.append(f"a{k} AS MATERIALIZED (SELECT vec_id, part, entry, dist FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, part ORDER BY dist, entry) AS rn FROM (SELECT vec_id, pc.part, entry, sum((x-c)*(x-c))::BIGINT AS dist FROM pc JOIN b{k} b ON b.part=pc.part AND b.pos=pc.pos GROUP BY 1,2,3)) WHERE rn=1)")
+        if k < vector_codes.ROUNDS:
+            ctes.append(f"b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.pos, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN (SELECT a.part, a.entry, pos, floor(sum(x)/count(*))::BIGINT AS c FROM a{k} a JOIN pc ON pc.vec_id=a.vec_id AND pc.part=a.part GROUP BY 1,2,3) m ON m.part=b.part AND m.entry=b.entry AND m.pos=b.pos)")
+    last = vector_codes.ROUNDS
+    ctes.append(f"cd AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(dist)::BIGINT AS error FROM a{last} GROUP BY 1)")
+    ctes.append(f"bk AS (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, pos)) AS sha FROM b{last})")
+    return "WITH " + ",\n".join(ctes) + " SELECT cd.vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, sha AS codebooks_sha256 FROM cd JOIN v USING (vec_id), bk"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_minhash_near_dedup": NEAR_SQL, "op12_va_file_codes": _codes_sql()}
