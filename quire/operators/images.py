@@ -30,7 +30,7 @@ def per_image(rows: DataFrame, keep: list[str], kernel: Callable[[dict], list[tu
 
     def arrays(row: dict, kinds: list[pa.DataType]) -> list[pa.Array]:
         found = [(*(row[k] for k in keep), *t) for t in kernel(row)]
-        return [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True)]
+        return [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True)] if found else []
 
     return _per_image(rows, keep, arrays, schema)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import frame_queries, geometry_queries, image_queries, page_queries, raster_queries, report_queries, state_queries  # noqa: F401
+from quire.plans import detection_queries, frame_queries, geometry_queries, image_queries, page_queries, raster_queries, report_queries, state_queries  # noqa: F401
 from quire.plans.registry import ORACLES, QUERIES
 
 

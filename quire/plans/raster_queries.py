@@ -350,14 +350,6 @@ def crop_sanity(spark, d):
     return blocks(spark, d).select("capture_id", "block_id", F.round(kept, 9).alias("retained"), F.when(ok, F.col("wi")).otherwise(400).cast("long").alias("w"), F.when(ok, F.col("hi")).otherwise(40).cast("long").alias("h"))
 
 
-@query("c16_fallback_pass", with_sql("pix", TXT + CELLS + "SELECT DISTINCT capture_id, 'fallback' AS pass FROM cl WHERE capture_id NOT IN (SELECT capture_id FROM cl WHERE cell='content') UNION ALL SELECT DISTINCT capture_id, 'main' FROM cl WHERE cell='content'"))
-def fallback_pass(spark, d):
-    c = cells(spark, d)
-    main = c.where("cell = 'content'").select("capture_id").distinct()
-    none = c.select("capture_id").distinct().join(main, "capture_id", "left_anti")
-    return none.withColumn("pass", F.lit("fallback")).unionByName(main.withColumn("pass", F.lit("main")))
-
-
 @query("s7_instance_regions", with_sql("pix", TXT + """, ib AS (SELECT capture_id, inst, min(px)/8.0::DOUBLE AS x, 1-(max(py)+1)/8.0::DOUBLE AS y, (max(px)+1-min(px))/8.0::DOUBLE AS w, (max(py)+1-min(py))/8.0::DOUBLE AS h FROM (SELECT *, (px//4)*2+py//4 AS inst FROM pix WHERE r>140) GROUP BY 1,2)
 SELECT ib.capture_id, inst AS instance, ib.x, ib.y, ib.w, ib.h FROM ib JOIN txt USING (capture_id) WHERE ib.w*ib.h>=0.03 AND round(greatest(0,least(ib.x+ib.w,txt.x+txt.w)-greatest(ib.x,txt.x))*greatest(0,least(ib.y+ib.h,txt.y+txt.h)-greatest(ib.y,txt.y))/(ib.w*ib.h),9)<0.4"""))
 def instance_regions(spark, d):
