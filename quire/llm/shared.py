@@ -175,8 +175,8 @@ def narrowed(scratch: Scratch, meeting: DataFrame, comp: DataFrame, sets: DataFr
     Texts that share a template meet in the same bands without being alike. A set of n shingles that is alike
     another at ``percent`` shares at least ceil(n * percent / 100) of its shingles, so under any one order of
     all shingles the first that both have is among the first n - ceil(n * percent / 100) + 1 of each. The order
-    puts shingles last that more than ``few`` of the sets in such bands have (told by a bitmap of 2 MB; a shingle
-    that only shares a bit with one comes later too, which changes no result). So ids that could be alike
+    puts shingles last that more than ``few`` components in such bands have, as one set of each shows (told by a
+    bitmap of 2 MB; a shingle that only shares a bit with one comes later too, which changes no result). So ids that could be alike
     still meet, and what a template shares brings nobody together while it is less than that share.
 
     ``sets``: a row a set, ``id`` first; ``unpack`` gives the sets of a batch. Also returns how many ids a band
@@ -188,9 +188,10 @@ def narrowed(scratch: Scratch, meeting: DataFrame, comp: DataFrame, sets: DataFr
     several = scratch.write(several, "several")
     if several.isEmpty():
         return meeting.join(wide, "band", "left_anti"), 4
-    crowd = scratch.write(meeting.select("band", "id").join(several, "band", "left_semi").select("id").distinct(), "crowd")
+    crowd = scratch.write(member.join(several, "band", "left_semi").select("id", "component").distinct(), "crowd")
     held = scratch.write(sets.join(crowd, "id", "left_semi").select(sets.columns), "held")
-    counts = held.mapInArrow(_counted(unpack), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    heads = crowd.groupBy("component").agg(F.min("id").alias("id"))
+    counts = held.join(heads, "id", "left_semi").select(sets.columns).mapInArrow(_counted(unpack), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
     slots = scratch.spark.sparkContext.broadcast(slots_of(counts.where(F.col("n") > few).select("hash")))
     rare = met(held.mapInArrow(_rarest_first(unpack, slots, percent), "band long, id long"))
     return scratch.write(meeting.join(wide, "band", "left_anti").union(rare), "narrow"), 2
