@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def reading_order(blocks: DataFrame, band_tolerance: float = 0.5, least_gap: float = 0.05, spread: float = 0.15) -> DataFrame:
-    """``blocks`` with ``reading_pos`` (from 0) within each capture.
+def reading_order(blocks: DataFrame, band_tolerance: float = 0.5, least_gap: float = 0.05, spread: float = 0.15, sections: bool = False) -> DataFrame:
+    """``blocks`` with ``reading_pos`` (from 0) within each capture, and with ``sections`` also ``section``.
 
     Blocks fall into bands of like height on the page. Where at least two bands have a gap wider than
     ``least_gap`` at about the same place, the page has two columns: blocks across the boundary come first,
-    then the left and the right column; else bands are read left to right. Ties go to the smaller block id.
+    then the left and the right column (sections 0, 1 and 2); else bands are read left to right, in one section.
+    Ties go to the smaller block id.
     """
     w = Window.partitionBy("capture_id")
     down = w.orderBy(F.desc("mid"), "block_id")
@@ -32,7 +33,8 @@ def reading_order(blocks: DataFrame, band_tolerance: float = 0.5, least_gap: flo
     part = F.when(F.col("boundary").isNull(), F.lit(0)).when((F.col("x") < F.col("boundary")) & (F.col("x") + F.col("w") > F.col("boundary")), 0).when(F.col("x") + F.col("w") / 2 < F.col("boundary"), 1).otherwise(2)
     plain = F.col("boundary").isNull()
     order = w.orderBy(part, F.when(plain, F.col("band")), F.when(plain, F.col("x")), F.when(~plain, -F.col("mid")), "block_id")
-    return b.withColumn("reading_pos", (F.row_number().over(order) - 1).cast("long")).select(*blocks.columns, "reading_pos")
+    b = b.withColumns({"reading_pos": (F.row_number().over(order) - 1).cast("long"), "section": part})
+    return b.select(*blocks.columns, "reading_pos", *(["section"] if sections else []))
 
 
 def joined_text(df: DataFrame, keys: list[str], position: str, text: str = "text", separator: str = "\n") -> DataFrame:
@@ -41,6 +43,24 @@ def joined_text(df: DataFrame, keys: list[str], position: str, text: str = "text
     return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r["t"]), separator).alias("full_text"), F.count("*").alias("blocks"))
 
 
+def formatted_text(blocks: DataFrame, paragraph: float = 1.5, indent: float = 0.02) -> DataFrame:
+    """``capture_id, formatted_text, blocks``: the texts in reading order, with the page's structure kept.
+
+    An empty line stands between two texts where the gap from one down to the next is larger than ``paragraph``
+    times the taller of them, and where a column ends, so columns are sections of their own. A text that starts
+    to the right of its section's left edge is indented by two spaces for each ``indent`` of the page's width.
+    """
+    b = reading_order(blocks, sections=True)
+    w = Window.partitionBy("capture_id").orderBy("reading_pos")
+    left = F.min("x").over(Window.partitionBy("capture_id", "section"))
+    gap = F.round(F.lag("y").over(w) - F.col("y") - F.col("h"), 9)
+    apart = (F.lag("section").over(w) != F.col("section")) | (gap > F.round(paragraph * F.greatest("h", F.lag("h").over(w)), 9))
+    line_end = F.when(F.lag("section").over(w).isNull(), "").when(apart, "\n\n").otherwise("\n")
+    steps = F.floor(F.round((F.col("x") - left) / indent, 6) + 0.5).cast("int")
+    b = b.withColumn("piece", F.concat(line_end, F.repeat(F.lit("  "), steps), "text"))
+    return joined_text(b, ["capture_id"], "reading_pos", "piece", "").withColumnRenamed("full_text", "formatted_text")
+
+
 def words(line: Column) -> Column:
     """The words of a line, split at single spaces."""
     return F.filter(F.split(line, " ", -1), lambda w: w != "")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quire.operators import images as I
-from quire.operators import retouch
+from quire.operators import retouch, tensors
 from quire.plans.raster_queries import VARS, sheet_texts
 from quire.plans.registry import query
 from quire.sources import layouts as L
@@ -138,6 +138,54 @@ def harmonic_fill(spark, d):
     return I.unpacked(I.harmonic_fill(images, I.masked(images, _hole))).drop("width", "height")
 
 
+# ---- other sizes and tensors
+
+
+def small(spark, d):
+    return L.packed(L.rasters(L.table(spark, d, "embeddings")))
+
+
+def _axis(new: int, name: str, old: int = 8) -> str:
+    """``name(i, j, k)``: the share k of pixel j of ``old`` in pixel i of ``new``."""
+    share = f"greatest(0,least((i+1)*{old}/{new}.0::DOUBLE,j+1)-greatest(i*{old}/{new}.0::DOUBLE,j))*{new}/{old}.0::DOUBLE" if new <= old else f"greatest(0,1-abs(least({old - 1},greatest(0,(i+0.5::DOUBLE)*{old}/{new}.0::DOUBLE-0.5::DOUBLE))-j))"
+    return f"{name} AS (SELECT i, j, {share} AS k FROM (SELECT unnest(range({new})) AS i), (SELECT unnest(range({old})) AS j))"
+
+
+def _resampled_sql(width: int, height: int) -> str:
+    value = lambda c: f"floor(round(sum(wx.k*wy.k*{c}),6)+0.5)::BIGINT AS {c}"
+    return f", {_axis(width, 'wx')}, {_axis(height, 'wy')}, rs AS (SELECT capture_id, wx.i AS px, wy.i AS py, {', '.join(map(value, 'rgb'))} FROM pix JOIN wx ON wx.j=px AND wx.k>0 JOIN wy ON wy.j=py AND wy.k>0 GROUP BY 1,2,3) "
+
+
+@query("r20_resample_smaller", with_sql("pix", _resampled_sql(5, 3) + "SELECT * FROM rs"))
+def resample_smaller(spark, d):
+    return I.unpacked(tensors.resampled(small(spark, d), 5, 3)).drop("width", "height")
+
+
+@query("r20_resample_larger", with_sql("pix", _resampled_sql(12, 6) + "SELECT * FROM rs"))
+def resample_larger(spark, d):
+    """Wider by lines between the pixels, lower by areas."""
+    return I.unpacked(tensors.resampled(small(spark, d), 12, 6)).drop("width", "height")
+
+
+@query("r5_color_variance_scaled", with_sql("pix", _resampled_sql(3, 3) + f"SELECT capture_id, round(sqrt({VARS}),6) AS variance FROM rs GROUP BY 1"))
+def color_variance_scaled(spark, d):
+    return tensors.colour_variance(small(spark, d), 3)
+
+
+@query("r21_letterbox_tensor", with_sql("pix", _resampled_sql(16, 16) + """, gr AS (SELECT capture_id, ch, tx, ty FROM (SELECT DISTINCT capture_id FROM pix), (SELECT unnest(range(3)) AS ch), (SELECT unnest(range(32)) AS tx), (SELECT unnest(range(32)) AS ty))
+SELECT gr.capture_id, (ch*1024+ty*32+tx)::BIGINT AS spot, round(coalesce(CASE ch WHEN 0 THEN r WHEN 1 THEN g ELSE b END, 114)/255.0::DOUBLE, 4) AS v FROM gr LEFT JOIN rs ON rs.capture_id=gr.capture_id AND px=tx-8 AND py=ty-8"""))
+def letterbox_tensor(spark, d):
+    """Images scaled twofold, in the middle of a tensor of 32 x 32."""
+    t = tensors.to_tensors(small(spark, d), 16).select("capture_id", F.posexplode("data").alias("spot", "v"))
+    return t.select("capture_id", F.col("spot").cast("long").alias("spot"), F.round(F.col("v").cast("double"), 4).alias("v"))
+
+
+@query("r21_from_tensor", with_sql("pix", "SELECT capture_id, px, py, r, g, b FROM pix"))
+def from_tensor(spark, d):
+    """Pixels to tensors and back."""
+    return I.unpacked(tensors.from_tensors(tensors.to_tensors(small(spark, d), 8))).drop("width", "height")
+
+
 # ---- the rebuilt preview
 
 

@@ -46,6 +46,16 @@ def full_text(spark, d):
     return reading.joined_text(reading.reading_order(doc_blocks(spark, d)), ["capture_id"], "reading_pos")
 
 
+FORMATTED = """, fl AS (SELECT *, min(x) OVER (PARTITION BY capture_id, part) AS edge, lag(y) OVER w AS py, lag(h) OVER w AS ph, lag(part) OVER w AS pp FROM ordered WINDOW w AS (PARTITION BY capture_id ORDER BY reading_pos)),
+pc AS (SELECT capture_id, reading_pos, CASE WHEN pp IS NULL THEN '' WHEN pp<>part OR round(py-y-h,9)>round(1.5::DOUBLE*greatest(h,ph),9) THEN chr(10)||chr(10) ELSE chr(10) END||repeat('  ', floor(round((x-edge)/0.02::DOUBLE,6)+0.5)::INT)||text AS piece FROM fl)
+SELECT capture_id, string_agg(piece, '' ORDER BY reading_pos) AS formatted_text, count(*) AS blocks FROM pc GROUP BY 1"""
+
+
+@query("t10_formatted_text", with_sql("db", ORDER_SQL.format(t="db") + FORMATTED))
+def formatted_text(spark, d):
+    return reading.formatted_text(doc_blocks(spark, d))
+
+
 @query("t2_word_count", with_sql("db", "SELECT capture_id, sum(len(list_filter(string_split(text, ' '), lambda w: w<>'')))::BIGINT AS words FROM db GROUP BY capture_id"))
 def word_count(spark, d):
     return doc_blocks(spark, d).groupBy("capture_id").agg(F.sum(F.size(reading.words(F.col("text")))).alias("words"))
