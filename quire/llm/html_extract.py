@@ -5,6 +5,10 @@ to its container (whole) and to the ancestors above (a half, a third, ...); a co
 discounted by the share of its text that stands in links. The best container (or the article that encloses
 it) is kept with those siblings that score well beside it and what stands between them. Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments are cut by element, role and class before scoring.
+
+A name alone does not decide: a form, or an element cut for its class or id, that holds nearly all paragraph
+points of the page is no clutter but the frame of the page, and is opened (``_opened``). What is hidden stays
+cut. Inline elements are cut if they are hidden or named as adverts.
 """
 
 from __future__ import annotations
@@ -47,10 +51,14 @@ _DEEPEST = 250  # elements below that are children of the one at this depth, as
 _FENCE = frozenset("ul ol dl table body html article section div".split())
 
 
+_ADVERT = frozenset("ad ads advert adverts advertisement advertising adbox adslot promo promoted promotion sponsor sponsored".split())
+_SURE, _LIKELY = 2, 1  # an element is cut for good, or unless it frames the page
+
+
 class _Node:
     __slots__ = ("cut", "links", "parent", "points", "size", "tag")
 
-    def __init__(self, tag: str, parent: _Node | None, cut: bool):
+    def __init__(self, tag: str, parent: _Node | None, cut: int):
         self.tag, self.parent, self.cut, self.points, self.size, self.links = tag, parent, cut, 0.0, 0, 0
 
     def up(self) -> Iterator[_Node]:
@@ -63,35 +71,72 @@ class _Node:
         return self.points * (1 - self.links / self.size) if self.size else 0.0
 
 
-def _names_clutter(names: str) -> bool:
+def _names_clutter(names: str, words_of: frozenset[str] = _CUT_NAME) -> bool:
     """Whether one of the names in a class or id says that the element is no content: not ``market-share``, but ``share-bar``."""
     for name in names.split():
         words = [w for w in re.split(r"[^a-z0-9]+", name) if w and not re.fullmatch(r"[0-9x]+", w)]
-        if not _CUT_NAME.isdisjoint(words) and all(w in _CUT_NAME or w in _BESIDE for w in words):
+        if not words_of.isdisjoint(words) and all(w in words_of or w in _BESIDE for w in words):
             return True
     return False
 
 
-def _is_cut(tag: str, attrs: str, stack: list[_Node]) -> bool:
+def _is_cut(tag: str, attrs: str, stack: list[_Node]) -> int:
     if tag in _CUT or tag == "header" and not any(n.tag in ("article", "main") for n in stack):
-        return True
+        return _LIKELY if tag == "form" else _SURE
     if tag in ("html", "body", "article", "main") or "=" not in attrs and "hidden" not in attrs:
-        return False
+        return 0
+    found = 0
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
+        if name == "role" and value in _CUT_ROLE or _hides(name, value):
+            return _SURE
         if name in ("class", "id") and _names_clutter(value):
-            return True
-        if name == "role" and value in _CUT_ROLE or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none", value):
+            found = _LIKELY
+    return found
+
+
+def _hides(name: str, value: str) -> bool:
+    return name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and bool(re.search(r"display\s*:\s*none", value))
+
+
+def _is_cut_inline(attrs: str) -> bool:
+    """Whether an inline element is hidden, or named as an advert."""
+    for name, value in _ATTR.findall(attrs):
+        name, value = name.lower(), value.strip("\"'").lower()
+        if _hides(name, value) or name in ("class", "id") and _names_clutter(value, _ADVERT):
             return True
     return False
 
 
+def _opened(blocks: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
+    """The blocks that are not cut, after opening elements that frame the page.
+
+    From the outside in: an element that is likely clutter is opened where at least three points lie in it and
+    less than a tenth as many in what is not cut outside it.
+    """
+    while True:
+        free, held = 0.0, {}
+        for node, text, linked in blocks:
+            cut = [n for n in node.up() if n.cut]
+            if cut:
+                held.setdefault(id(cut[-1]), [cut[-1], 0.0])[1] += _points(text, linked)  # the outermost one
+            else:
+                free += _points(text, linked)
+        frame = next((n for n, points in held.values() if points >= 3 and free < 0.1 * points), None)
+        if frame is None:
+            return [b for b in blocks if not any(n.cut for n in b[0].up())]
+        frame.cut = 0
+
+
+def _points(text: str, linked: int) -> float:
+    return ((len(text) >= 25) + min(len(text) / 100, 3) + text.count(",")) * (1 - linked / len(text))
+
+
 def _blocks(page: str) -> list[tuple[_Node, str, int]]:
     """The text blocks of a page in order: owning element, text, and how much of it stands in links."""
-    root = _Node("#root", None, False)
+    root = _Node("#root", None, 0)
     stack, seen, out, words, linked, link_at, at = [root], set(), [], [], 0, 0, 0
+    skip, deep = "", 0  # the inline element that is being left out, and how many of its tag are open in it
 
     def flush() -> None:
         nonlocal words, linked
@@ -110,7 +155,7 @@ def _blocks(page: str) -> list[tuple[_Node, str, int]]:
 
     stop = page.rfind(">") + 1  # no tag ends later, so no search for its end runs on
     for m in _TOKEN.finditer(page, 0, stop):
-        if m.start() > at and not stack[-1].cut:
+        if m.start() > at and stack[-1].cut != _SURE and not skip:
             words.append(page[at : m.start()])
             linked += bool(link_at) * (m.start() - at)
         at = m.end()
@@ -121,9 +166,17 @@ def _blocks(page: str) -> list[tuple[_Node, str, int]]:
             continue
         tag = tag.lower()
         if tag in _INLINE:
+            attrs = m["attrs"] or ""
+            if skip:
+                deep += (-1 if m["end"] else 1) if tag == skip else 0
+                skip = skip if deep else ""
+            elif not m["end"] and ("=" in attrs or "hidden" in attrs) and not attrs.endswith("/>") and _is_cut_inline(attrs):
+                skip, deep = tag, 1
             if tag == "a":
                 link_at = 0 if m["end"] else len(stack)
             continue
+        if tag not in _VOID:
+            skip = ""  # an inline element ends with its block at the latest
         if tag in _VOID:
             words.append(" ") if tag == "br" else flush() if tag == "hr" else None
             continue
@@ -140,11 +193,11 @@ def _blocks(page: str) -> list[tuple[_Node, str, int]]:
             elif stack[k].tag in _FENCE:
                 break
         seen.add(tag)
-        stack.append(_Node(tag, stack[min(len(stack) - 1, _DEEPEST)], stack[-1].cut or _is_cut(tag, m["attrs"] or "", stack)))
-    if not stack[-1].cut:
+        stack.append(_Node(tag, stack[min(len(stack) - 1, _DEEPEST)], _SURE if stack[-1].cut == _SURE else _is_cut(tag, m["attrs"] or "", stack)))
+    if stack[-1].cut != _SURE and not skip:
         words.append(page[at:])
     flush()
-    return [b for b in out if not b[0].cut]
+    return _opened(out)
 
 
 def main_text(page: str | None) -> str:
@@ -154,7 +207,7 @@ def main_text(page: str | None) -> str:
         for n in node.up():
             n.size += len(text)
             n.links += linked
-        points = ((len(text) >= 25) + min(len(text) / 100, 3) + text.count(",")) * (1 - linked / len(text))
+        points = _points(text, linked)
         holder = node if node.tag in _LISTS or node.parent is None else node.parent
         for depth, n in enumerate(holder.up(), 1):
             n.points += points / depth
