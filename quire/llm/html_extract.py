@@ -111,18 +111,17 @@ def _is_cut_inline(attrs: str) -> bool:
 def _opened(blocks: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
     """The blocks that are not cut, after opening elements that frame the page.
 
-    From the outside in: an element that is likely clutter is opened where at least three points lie in it and
-    less than a tenth as many in what is not cut outside it.
+    From the outside in: an element that is likely clutter is opened where at least three points lie in it, and
+    a tenth of its points and of its text is more than what is not cut outside it has.
     """
     while True:
-        free, held = 0.0, {}
+        free, held = [0.0, 0], {}
         for node, text, linked in blocks:
             cut = [n for n in node.up() if n.cut]
-            if cut:
-                held.setdefault(id(cut[-1]), [cut[-1], 0.0])[1] += _points(text, linked)  # the outermost one
-            else:
-                free += _points(text, linked)
-        frame = next((n for n, points in held.values() if points >= 3 and free < 0.1 * points), None)
+            sums = held.setdefault(id(cut[-1]), [0.0, 0, cut[-1]]) if cut else free  # by the outermost one
+            sums[0] += _points(text, linked)
+            sums[1] += len(text)
+        frame = next((n for points, size, n in held.values() if points >= 3 and free[0] < 0.1 * points and free[1] < 0.1 * size), None)
         if frame is None:
             return [b for b in blocks if not any(n.cut for n in b[0].up())]
         frame.cut = 0
