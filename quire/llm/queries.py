@@ -119,5 +119,23 @@ def _codes_sql() -> str:
     return "WITH " + ",\n".join(ctes) + " SELECT cd.vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, sha AS codebooks_sha256 FROM cd JOIN v USING (vec_id), bk"
 
 
+#: Runs by comparing every two equal words of a text that are close enough: stretches of them at one distance are runs of that period.
+RUNS_SQL = r"""WITH w0 AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+w1 AS (SELECT *, len(w)::BIGINT AS n, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x>>1, (x&1)*3988292384::BIGINT))) AS crc FROM w0),
+w2 AS (SELECT *, xor(crc, 4294967295::BIGINT)//10 AS g, xor(crc, 4294967295::BIGINT)%10=0 AND n>0 AS tail FROM w1),
+w3 AS (SELECT *, CASE WHEN tail THEN g%n ELSE n END AS a, CASE WHEN tail THEN 1+(n-g%n)//(3+g%8) ELSE 1 END AS p FROM w2),
+ix AS (SELECT doc_id, n, w, a, p, unnest(range(n)) AS i FROM w3),
+wd AS MATERIALIZED (SELECT doc_id, n, i, w[1+CASE WHEN i<a THEN i ELSE a+(i-a)%p END] AS word FROM ix),
+eq AS (SELECT x.doc_id, x.n, x.i, y.i-x.i AS q FROM wd x JOIN wd y ON x.doc_id=y.doc_id AND x.word=y.word AND y.i>x.i AND y.i-x.i<=x.n//4),
+st AS (SELECT doc_id, q, min(i) AS start, count(*)+q AS length FROM (SELECT *, i-row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isl FROM eq) GROUP BY doc_id, q, isl HAVING count(*)+q>=greatest(6, 4*q)),
+rn AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM st GROUP BY 1,2,3),
+bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE/period DESC, start, period) AS k FROM rn) WHERE k=1),
+ls AS (SELECT doc_id, count(*) AS n_runs, string_agg(start||','||length||','||period||chr(10), '' ORDER BY start, period) AS listed FROM rn GROUP BY 1),
+gn AS (SELECT DISTINCT doc_id, unnest(range(start+period, start+length)) AS i FROM rn),
+kp AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM wd ANTI JOIN gn USING (doc_id, i) GROUP BY 1)
+SELECT w0.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000*length//period)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM w0 LEFT JOIN bs USING (doc_id) LEFT JOIN ls USING (doc_id) LEFT JOIN kp USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_dedup": NEAR_SQL, "op12_va_file_codes": _codes_sql()}
+    return {"op13_periodic_runs": RUNS_SQL, "op3_minhash_near_dedup": NEAR_SQL, "op12_va_file_codes": _codes_sql()}
