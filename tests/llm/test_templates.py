@@ -36,14 +36,14 @@ def test_template_lines_are_not_compared_with_each_other(spark):
 
 def test_links_among_template_lines_are_found(spark):
     rng = random.Random(2)
-    lines = log_lines(3000, rng)
+    lines = log_lines(1000, rng)
     near = [x.replace("status 200", f"status {rng.randrange(201, 599)}") for x in lines[:300]]
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines + near)], "doc_id long, text string")
     got = {r.doc_id: r.lines_kept for r in line_dedup.dedup_lines(docs).collect()}
     sets = [set(s.tolist()) for s in line_dedup.shingle_sets(lines[:300] + near)]
     alike = [100 * len(a & b) >= 80 * len(a | b) for a, b in zip(sets[:300], sets[300:])]
     assert sum(alike) > 250
-    assert all(got[3000 + i] == (not alike[i]) for i in range(300)) and all(got[i] == 1 for i in range(3000))
+    assert all(got[1000 + i] == (not alike[i]) for i in range(300)) and all(got[i] == 1 for i in range(1000))
 
 
 def test_documents_with_one_head(spark):
