@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from quire.sources.files import shared_path
 
+LEVELS = (8, 64, 512, 4096, 32768)
+_BAND = np.random.default_rng(61).integers(0, 2**62, 2).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, bound as a lambda variable so that it is computed once for each row."""
@@ -197,6 +200,62 @@ def narrowed(scratch: Scratch, meeting: DataFrame, comp: DataFrame, sets: DataFr
     return scratch.write(meeting.join(wide, "band", "left_anti").union(rare), "narrow"), 2
 
 
+def levels_of(counts: DataFrame, marks: tuple[int, ...], log2: int = 24) -> list[bytearray]:
+    """A bitmap as of ``slots_of`` for each of ``marks``: the slots of hashes of ``counts(hash, n)`` with n above the mark."""
+    slot, bit = F.pmod("hash", F.lit(1 << log2)), F.expr(f"shiftleft(1L, cast(pmod(hash, {1 << log2}) AS int) & 31)")
+    over = [F.bit_or(F.when(F.col("n") > m, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"m{m}") for m in marks]
+    words = counts.where(F.col("n") > marks[0]).select(F.shiftright(slot, 5).alias("word"), bit.alias("bit"), "n")
+    got = words.groupBy("word").agg(*over).toArrow()  # 2**19 rows of a few numbers at most
+    out = np.zeros((len(marks), 1 << (log2 - 5)), "<u4")
+    for row, m in zip(out, marks, strict=True):
+        row[got["word"].to_numpy()] = got[f"m{m}"].to_numpy().astype("<u4")
+    return [bytearray(row.tobytes()) for row in out]
+
+
+def _rarest_inside(unpack: Callable[[pa.RecordBatch], list[np.ndarray]], levels, percent: int):
+    """Rows of sets, with ``bands`` last, to ``band, id``: every band crossed with each of the shingles that can start a link, rarest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out, size = [np.empty(0, np.uint64)], []
+            for s, bands in zip(unpack(batch), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                level = sum((in_slots(x, s.view(np.int64)).astype(np.int8) for x in levels.value), np.zeros(len(s), np.int8))
+                head = s[np.argsort(level, kind="stable")][: len(s) + percent * len(s) // -100 + 1]
+                keys = (head ^ (head >> np.uint64(31))) * _BAND[0] + np.array(bands, np.int64).view(np.uint64)[:, None] * _BAND[1]
+                out.append((keys ^ (keys >> np.uint64(29))).ravel())
+                size.append(keys.size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), size))], ["band", "id"])
+
+    return run
+
+
+def exchanged(scratch: Scratch, meeting: DataFrame, comp: DataFrame, sets: DataFrame, unpack: Callable[[pa.RecordBatch], list[np.ndarray]], percent: int, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """``meeting`` without its crowded bands, and what stands for these: bands of one crowded band and one rare shingle.
+
+    A band is crowded where more than ``most`` ids are outside its largest component, as texts of one template
+    are. Its ids now meet only if they share one of their first n - ceil(n * percent / 100) + 1 shingles too, in an
+    order that puts frequent ones last (see ``narrowed``), so no link is lost and no ids meet that did not meet
+    before. The order follows the power of eight of a shingle's count over the components in crowded bands, told
+    by bitmaps of 2 MB. Bands that are not crowded stay: comparing them is linear in their ids. The second table
+    is to be compared from bands of two ids on; it is None where no band is crowded.
+
+    ``sets``: a row a set, ``id`` first; ``unpack`` gives the sets of a batch and may meet one more column, the last.
+    """
+    wide = meeting.where(F.col("nth") == most).select("band")
+    member = meeting.select("band", "id").join(wide, "band", "left_semi").join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = member.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg((F.sum("n") - F.max("n")).alias("outside"))
+    crowded = scratch.write(parts.where(F.col("outside") > most).select("band"), "crowded")
+    if crowded.isEmpty():
+        return meeting, None
+    crowd = scratch.write(member.join(crowded, "band", "left_semi").groupBy("id", "component").agg(F.collect_list("band").alias("bands")), "crowd")
+    held = scratch.write(sets.join(crowd.select("id", "bands"), "id"), "held")
+    heads = crowd.groupBy("component").agg(F.min("id").alias("id"))
+    counts = held.join(heads, "id", "left_semi").select(held.columns).mapInArrow(_counted(unpack), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    levels = scratch.spark.sparkContext.broadcast(levels_of(counts, LEVELS))
+    rare = scratch.write(met(held.mapInArrow(_rarest_inside(unpack, levels, percent), "band long, id long")), "rare")
+    return meeting.join(crowded, "band", "left_anti"), rare
+
+
 def across(met: DataFrame, comp: DataFrame, few: int, left: int, right: int, least: int = 4) -> tuple[DataFrame, DataFrame]:
     """All pairs of ids that meet in a band and are in different components of ``comp(node, component)``, in two forms.
 

@@ -62,3 +62,44 @@ def test_documents_with_one_head(spark):
     meeting = scratch.write(shared.met(rows), "met")
     table = spark.createDataFrame([(k, s.tobytes()) for k, s in zip(keys, sets)], "id long, shingles binary")
     assert compared(spark, scratch, meeting, table, near_dedup._unpacked) < 20 * len(texts)
+
+
+def test_crowded_bands_are_exchanged_inside_themselves(spark):
+    rng = random.Random(4)
+    lines = log_lines(20_000, rng)
+    near = [x.replace("status 200", "status 404") for x in lines[:200]]
+    sets = line_dedup.shingle_sets(lines[:200] + near)
+    linked = [(a, b) for a, b, x, y in zip(lines, near, sets[:200], sets[200:]) if line_dedup.alike(x, y, 80)]
+    keys = {x: line_dedup.line_id(x) for x in lines + near}
+    rows = [(int(b), k) for k, bs in zip(keys.values(), line_dedup.band_hashes(list(keys))) for b in bs]
+    scratch, none = shared.Scratch(spark, "t"), spark.createDataFrame([], "node long, component long")
+    meeting = scratch.write(shared.met(spark.createDataFrame(rows, "band long, id long")), "met")
+    table = spark.createDataFrame([(k, x) for x, k in keys.items()], "id long, line string")
+    plain, rare = shared.exchanged(scratch, meeting, none, table, lambda b: line_dedup.shingle_sets(b.column(1).to_pylist()), 80, 256)
+    assert plain.groupBy("band").count().agg(F.max("count")).first()[0] <= 257  # nothing is linked yet
+    pairs, blocks = shared.across(rare, none, 64, 128, 256, 2)
+    sides = blocks.groupBy("band", "block", "piece").pivot("side", [0, 1]).count()
+    assert pairs.count() + (sides.agg(F.sum(F.col("0") * F.col("1"))).first()[0] or 0) < 20 * len(lines)
+    # pairs that meet in a crowded band and are alike still meet, and no others do
+    banded = dict()
+    for b, k in rows:
+        banded.setdefault(k, set()).add(b)
+    crowded = {r.band for r in meeting.where("nth = 257").select("band").collect()}
+    now = {frozenset(r) for r in pairs.collect()}
+    for a, b in linked:
+        if banded[keys[a]] & banded[keys[b]] & crowded:
+            assert frozenset((keys[a], keys[b])) in now
+    assert all(banded[a] & banded[b] & crowded for a, b in now)
+
+
+def test_no_band_is_crowded(spark):
+    new, none = lambda: shared.Scratch(spark, "t"), spark.createDataFrame([], "node long, component long")
+    meeting = shared.met(spark.createDataFrame([(b, i) for b in range(3) for i in range(9)], "band long, id long"))
+    sets = spark.createDataFrame([(i, f"line {i}") for i in range(9)], "id long, line string")
+    unpack = lambda b: line_dedup.shingle_sets(b.column(1).to_pylist())
+    plain, rare = shared.exchanged(new(), meeting, none, sets, unpack, 80, 8)
+    assert rare is None and plain.count() == 27
+    plain, rare = shared.exchanged(new(), meeting, none, sets, unpack, 80, 7)
+    assert plain.isEmpty() and rare is not None
+    linked = spark.createDataFrame([(i, 0) for i in range(1, 9)], "node long, component long")
+    assert shared.exchanged(new(), meeting, linked, sets, unpack, 80, 7)[1] is None
