@@ -103,3 +103,14 @@ def test_no_band_is_crowded(spark):
     assert plain.isEmpty() and rare is not None
     linked = spark.createDataFrame([(i, 0) for i in range(1, 9)], "node long, component long")
     assert shared.exchanged(new(), meeting, linked, sets, unpack, 80, 7)[1] is None
+
+
+def test_common_counts(spark):
+    rng = random.Random(5)
+    lines = log_lines(40, rng) + ["abc", "", "x" * 9000, "".join(rng.choice("abcdefgh") for _ in range(30_000))]
+    sets = line_dedup.shingle_sets(lines)
+    got = line_dedup.common_counts(sets[:20], sets)
+    assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets[:20]]
+    got = line_dedup.common_counts(sets[40:], sets[38:])  # more than one part of columns
+    assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[38:]] for a in sets[40:]]
+    assert line_dedup.common_counts([], sets).shape == (0, len(sets))
