@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links = scratch.write(confirmed(likely(tested)), "links-1")
     comp = components(scratch, links, "cc-1")
     narrow, least = narrowed(scratch, meeting, comp, sets.select("id", "shingles"), _unpacked, percent, FEW)
-    pairs, blocks = across(narrow, comp, FEW, LEFT, RIGHT, least)
+    pairs, blocks = across(narrow, comp, FEW, LEFT, RIGHT, least, scratch)
     more = confirmed(likely(pairs.join(tested, ["a", "b"], "left_anti")))
     wide = blocks.join(heads.select("id", "sig"), "id").join(sets, "id").groupBy("band", "block", "piece").applyInArrow(_across(cut, percent), "a long, b long")
     # the first components as stars, and what joins them

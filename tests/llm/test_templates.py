@@ -114,3 +114,41 @@ def test_common_counts(spark):
     got = line_dedup.common_counts(sets[40:], sets[38:])  # more than one part of columns
     assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[38:]] for a in sets[40:]]
     assert line_dedup.common_counts([], sets).shape == (0, len(sets))
+
+
+def test_members_of_bands_are_placed_once(spark, monkeypatch):
+    """The second round reads which component an id is in; it does not join that anew for every form of its pairs."""
+    plans, write = {}, shared.Scratch.write
+
+    def seen(self, df, table, **options):
+        plans[table] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(self, df, table, **options)
+
+    monkeypatch.setattr(shared.Scratch, "write", seen)
+    rng = random.Random(9)
+    head = " ".join(f"head{i}" for i in range(60))
+    texts = [f"{head} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(25)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for run in (lambda: near_dedup.near_duplicates(docs), lambda: line_dedup.dedup_lines(docs)):
+        plans.clear()
+        run().count()
+        assert {"wide", "across"} <= set(plans)
+        assert not [t for t in ("several", "crowd", "links-2") if "LeftOuter" in plans.get(t, "")]
+
+
+def test_components_with_and_without_hubs(spark, monkeypatch):
+    """A node that many know, next to small components; only the rows of such a node are dealt over eight keys."""
+    plans, write = [], shared.Scratch.write
+
+    def seen(self, df, table, **options):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(self, df, table, **options)
+
+    monkeypatch.setattr(shared.Scratch, "write", seen)
+    for hub in (shared.HUB // 2, 4 * shared.HUB):
+        plans.clear()
+        edges = [(0, i) for i in range(1, hub)] + [(hub - 1, 10_000)] + [(i + 1, i) for i in range(20_000, 20_040)] + [(7, 7), (None, 3)]
+        got = shared.components(shared.Scratch(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()
+        want = {i: 0 for i in range(1, hub)} | {10_000: 0} | {i: 20_000 for i in range(20_001, 20_041)}
+        assert {r.node: r.component for r in got} == want and len(got) == len(want)
+        assert any("Generate" in p for p in plans) == (hub > shared.HUB)
