@@ -421,6 +421,27 @@ def test_line_dedup_odd_input(spark):
     assert line_dedup.dedup_lines(d.limit(0)).count() == 0
 
 
+def test_line_dedup_is_sql_only(spark, monkeypatch):
+    """No Python on the executors; lines of few distinct shingles meet whatever their lengths, and so do crowds of one template."""
+    plans, write = [], shared.Scratch.write
+
+    def seen(self, df, table, **options):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(self, df, table, **options)
+
+    monkeypatch.setattr(shared.Scratch, "write", seen)
+    monkeypatch.setattr(line_dedup, "CROWD", 8)
+    rng = random.Random(12)
+    unit = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(57)) + "q"
+    log = lambda n: f"2024-05-01 12:00:00 worker finished request id={n} with status 200 in time"
+    crowd = [log(rng.randrange(10**19, 10**20)) for _ in range(200)]
+    lines = ["-" * 10, "-" * 3000, unit + unit[:4], unit * 5, "ha " * 12 + "ha", "ha " * 60 + "ha", *crowd, crowd[150].replace("200", "404")]
+    out = line_dedup.dedup_lines(docs(spark, [(i, x, "s") for i, x in enumerate(lines)]))
+    assert sorted(r.doc_id for r in out.where("lines_kept = 0").collect()) == [1, 3, 5, 206]
+    plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+    assert len(plans) > 15 and not [p for p in plans if "Arrow" in p or "Python" in p or "Pandas" in p]
+
+
 # ---- mixing
 
 
