@@ -133,7 +133,7 @@ def compress(vectors: DataFrame, rounds: int = ROUNDS, id_col: str = "vec_id", v
         sums = base.select("v").mapInArrow(_sums(books, dim), "part int, entry int, n long, total array<long>")
         sums = sums.select("part", "entry", "n", F.posexplode("total").alias("at", "x")).groupBy("part", "entry", "at").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
         new = [b.copy() for b in books]
-        for r in sums.toLocalIterator():  # parts x entries x positions at most
+        for r in sums.collect():  # parts x entries x positions at most; a local iterator runs a job for each partition
             new[r.part][r.entry, r.at] = r.x // r.n
         if all((a == b).all() for a, b in zip(new, books, strict=True)):
             break  # further rounds would change nothing

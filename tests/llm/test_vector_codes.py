@@ -76,3 +76,21 @@ def test_odd_input(spark):
 def test_equal_vectors(spark):
     d = spark.createDataFrame([(i, [0.25] * 8, None) for i in range(30)], "vec_id long, embedding array<float>, label int")
     assert {(r.code, r.error, r.label_error) for r in vector_codes.compress(d).collect()} == {("00" * 8, 0, 0)}
+
+
+def test_a_round_is_one_pass_however_many_partitions(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.random() for _ in range(8)], None) for i in range(60)]
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in conf}
+    for c, v in conf.items():
+        spark.conf.set(c, v)
+    spark.sparkContext.setJobGroup("codes", "")
+    try:
+        assert got(vector_codes.compress(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))) == plain(rows)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("codes"))
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs < 40
