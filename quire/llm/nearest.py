@@ -2,10 +2,10 @@
 
 The vectors lie in blocks of bounded size, spread by hash. In every block each of ``projections`` random
 lines has one sorted array of its vectors' projections. A query opens a window around its own projection
-in each array; virtual rehashing widens all windows with the search radius, so the arrays are never
-rebuilt and each round counts only what the windows newly cover. A vector whose collisions exceed the
-threshold is verified with its exact cosine. A query ends in a block when its k-th verified neighbour is
-inside the radius that the windows stand for; no number of candidates ends it.
+in each array; virtual rehashing fits all windows to the search radius, so the arrays are never rebuilt.
+Collisions are counted on whichever side of the windows holds less. A vector whose collisions exceed the
+threshold is verified with its exact cosine. The radius shrinks to that of the k-th verified neighbour, and
+all that collide often enough there are verified; no number of candidates ends a query.
 
 Blocks are searched in waves that double: one block, then two, four and so on. What a query found in earlier
 waves bounds its radius in the next, so half of all blocks are searched with at most the radius of the k-th
@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from quire.llm.shared import Scratch
 
-WIDTH, RADIUS, GROWTH = 1.4, 0.6, 1.08
+WIDTH, FEW = 1.4, 256
 
 
 class CollisionIndex:
@@ -38,39 +38,48 @@ class CollisionIndex:
         p = self.lines @ unit.T
         order = np.argsort(p, axis=1, kind="stable")
         self.flat = (np.take_along_axis(p, order, 1) + self.shift).ravel()
-        self.order = order.ravel()
+        self.order = order.ravel().astype(np.min_scalar_type(len(unit)))  # narrow, as windows are copied
         self.n = unit.shape[0]
         chance = math.erf(WIDTH / math.sqrt(2))  # of a collision on one line at exactly the radius
         self.threshold = projections * chance - miss * math.sqrt(projections * chance * (1 - chance))
 
+    def collisions(self, at: np.ndarray, radius: float) -> np.ndarray:
+        """On how many lines each row is in the window around the query's projections ``at``.
+
+        The smaller side is counted: what the windows hold, or what lies outside them.
+        """
+        reach = WIDTH * radius
+        low, high = np.searchsorted(self.flat, at - reach), np.searchsorted(self.flat, at + reach, "right")
+        wide = 2 * int((high - low).sum()) > len(self.flat)
+        if wide:
+            ends = np.arange(len(at) + 1) * self.n
+            low, high = np.concatenate((ends[:-1], high)), np.concatenate((low, ends[1:]))
+        counts = np.bincount(np.concatenate([self.order[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]), minlength=self.n)
+        return len(at) - counts if wide else counts
+
     def search(self, query: np.ndarray, verify, k: int, bound: float | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
         """Rows verified, their cosines (by ``verify(rows)``), and whether more rows could be asked for.
 
-        Ends when the k-th is inside the radius, when all rows are in, or at the radius of the cosine ``bound``.
+        With the cosine ``bound`` every row is verified that collides often enough at its radius. Without one
+        the radius shrinks: a few rows bound it, those of them that collide most often bound it further, and
+        the rows that collide often enough at the radius of the k-th verified one are verified.
         """
-        at = (self.lines @ query)[:, None] + self.shift
-        counts, done = np.zeros(self.n, np.int64), np.zeros(self.n, bool)
+        at, done = self.lines @ query + self.shift[:, 0], np.zeros(self.n, bool)
         rows, cos = np.empty(0, np.int64), np.empty(0)
-        low = high = np.searchsorted(self.flat, at[:, 0])
-        last = 2.1 if bound is None else math.sqrt(max(0.0, 2 - 2 * bound)) + 1e-9
-        radius = min(RADIUS, last)
-        while True:
-            if radius > 2:  # no two unit vectors are farther apart
-                new = np.flatnonzero(~done)
-            else:
-                reach = WIDTH * radius
-                to = np.searchsorted(self.flat, at[:, 0] - reach), np.searchsorted(self.flat, at[:, 0] + reach, "right")
-                parts = [self.order[a:b] for a, b in zip(to[0].tolist(), low.tolist())] + [self.order[a:b] for a, b in zip(high.tolist(), to[1].tolist())]
-                counts += np.bincount(np.concatenate(parts), minlength=self.n)
-                low, high = to
-                new = np.flatnonzero((counts >= self.threshold) & ~done)
+        few = max(FEW, 2 * k)
+        new = np.arange(min(few, self.n)) if bound is None else rows
+        for first in (True, False) if bound is None else (False,):
             if len(new):
                 done[new] = True
                 rows, cos = np.concatenate((rows, new)), np.concatenate((cos, verify(new)))
-            enough = len(rows) >= k and np.partition(cos, len(cos) - k)[len(cos) - k] >= 1 - radius * radius / 2
-            if enough or radius >= last:
-                return rows, cos, radius < last
-            radius = min(radius * GROWTH, last)
+            near = bound if bound is not None else np.partition(cos, len(cos) - k)[len(cos) - k] if len(rows) >= k else -1.0
+            radius = math.sqrt(max(0.0, 2 - 2 * near)) + 1e-9
+            counts = self.collisions(at, radius)
+            new = np.flatnonzero(((counts >= self.threshold) | (radius >= 2)) & ~done)  # no two unit vectors are farther apart than 2
+            if first and len(new) > few:
+                new = new[np.argpartition(counts[new], len(new) - few)[len(new) - few :]]
+        rows, cos = np.concatenate((rows, new)), np.concatenate((cos, verify(new)))
+        return rows, cos, bound is None
 
 
 def _search_block(k: int, projections: int):

@@ -55,6 +55,24 @@ def test_nearest_odd_input(spark):
     assert many.where("query_id = 1").count() == 2
 
 
+def test_collisions_are_counted_on_the_smaller_side(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index, lines = nearest.CollisionIndex(x[:1000], 64), []
+    at, gaps = index.lines @ x[1200], np.abs(index.lines @ x[:1000].T - (index.lines @ x[1200])[:, None])
+    count = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda v, **k: lines.append(len(v)) or count(v, **k))
+    cos = x[:1000] @ x[1200]
+    rows, found, more = index.search(x[1200], lambda r: cos[r], 5, float(np.sort(cos)[-5]))
+    assert sum(lines) < 64 * 1000 / 2 and not more and set(np.argsort(cos)[-5:]) <= set(rows) and len(set(rows)) == len(rows) < 1000
+    for radius in (0.1, 0.6, 1.1, 1.9):
+        assert (index.collisions(at + index.shift[:, 0], radius) == (gaps <= nearest.WIDTH * radius).sum(axis=0)).all()
+    rows, found, more = index.search(x[1200], lambda r: cos[r], 5)  # without a bound
+    assert set(np.argsort(cos)[-5:]) <= set(rows) and len(set(rows)) == len(rows) < 1000 and (found == cos[rows]).all()
+    assert len(index.search(x[1200], lambda r: cos[r], 1000)[0]) == 1000
+
+
 # ---- quality and language
 
 
