@@ -429,6 +429,43 @@ def test_line_dedup_signs_the_verified_shingles(spark):
     assert sorted(out.doc_id[out.lines_kept == 0]) == [1, 3, 5, 7]
 
 
+def test_line_dedup_shuffles_lines_not_sets(spark):
+    blocks = spark.createDataFrame([(1, 1, 7, 0, 0, 0), (2, 2, 7, 0, 0, 1)], "id long, comp long, band long, block int, piece int, side int")
+    texts = spark.createDataFrame([(1, "one line of some words"), (2, "one line of some words.")], "id long, line string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = line_dedup._joined(blocks, texts, 80)
+        plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    moved = re.findall(r"\) Exchange\s*\nInput \[\d+\]: (.*)", plan)
+    assert any("line#" in x for x in moved) and not any("set_" in x for x in moved)
+    assert [tuple(r) for r in found.collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize("size", [5, 10, 20, 40, 80, 160, 400])
+def test_line_dedup_bands_of_sets_of_all_sizes(spark, size):
+    rng, pairs = np.random.default_rng(size), []
+    while len(pairs) < 200:
+        x = rng.integers(0x4E00, 0x9000, size + 4).tolist()
+        if size <= 20:  # one end less
+            y = x[: size + 4 - max(1, size // 5)]
+        else:
+            y = list(x)
+            for at in range(2, len(x), 50):  # an edit in 50 characters
+                y[at] = 0x3042
+        x, y = ("".join(map(chr, c)) for c in (x, y))
+        sx, sy = ({c[k : k + 5] for k in range(len(c) - 4)} for c in (x, y))
+        assert 0.79 < len(sx & sy) / len(sx | sy) < 0.9
+        pairs.append((x, y))
+    lines = spark.createDataFrame([(2 * k + i, x) for k, p in enumerate(pairs) for i, x in enumerate(p)], "id long, line string")
+    got = line_dedup._bands(lines).toPandas()
+    assert not got.duplicated().any() and got.groupby("id").size().min() >= 14
+    held = got.groupby("id")["band"].agg(set)
+    assert sum(bool(held[2 * k] & held[2 * k + 1]) for k in range(200)) >= 194
+    assert len(got) - got["band"].nunique() < 200 * 31  # no lines meet that are not a pair
+
+
 def test_line_dedup_odd_input(spark):
     rows = [(2, "same line here\n\nother", "s"), (1, "Same line here ", "s"), (3, None, "s"), (4, "", "s"), (5, "漢字漢字漢字漢字の行です", "s"), (6, "x\n" * 3 + "x", "s"), (2, "same line here\n\nother", "s"), (None, "null id", "s"), (9, "null id", "s")]
     d = docs(spark, rows).withColumn("lines", F.lit("clash")).withColumn("id", F.lit(0))
