@@ -35,10 +35,15 @@ def overlay_evidence(pairs: DataFrame, pixels: DataFrame, page: DataFrame, off:
     cols = F.filter(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.col("x1") + F.floor(step / 2) + step * i), lambda x: x <= F.col("x2"))
     d = d.select(*keys, "x1", "x2", "y1", "y2", "height", F.greatest(F.lit(3), F.floor(th / 2)).alias("reach"), F.greatest(F.lit(20), th * 3).alias("pad"), F.when(F.size(cols) > 0, cols).otherwise(F.array(F.floor((F.col("x1") + F.col("x2")) / 2))).alias("cols"))
     bg = page.select("capture_id", *(F.when((F.col("r") + F.col("g") + F.col("b")) / 3.0 < dark, 250.0).otherwise(F.col(c)).alias(f"bg_{c}") for c in "rgb"))
-    p = pixels.join(bg, "capture_id").select("capture_id", "px", "py", (F.round(sum((F.abs(F.col(c) - F.col(f"bg_{c}")) for c in "rgb"), F.lit(0.0)), 6) > off).alias("picture"))
+    d = d.join(bg, "capture_id")
+    paper = [f"bg_{c}" for c in "rgb"]
+    picture = (F.round(sum((F.abs(F.col(c) - F.col(f"bg_{c}")) for c in "rgb"), F.lit(0.0)), 6) > off).alias("picture")
+    p = pixels.select("capture_id", "px", "py", "r", "g", "b")
+    # pixels are streamed past the samples: they are far more than Spark estimates, and must not be broadcast
+    at = lambda points, *on: points.hint("shuffle_hash").join(p, ["capture_id", *on]).select("*", picture)
     # an unbroken run ends at the first background row: its distance is a minimum over rows
-    col = d.select(*keys, "y1", "y2", "reach", F.greatest(F.lit(0), F.col("y1") - F.col("pad")).alias("top"), F.least(F.col("height") - 1, F.col("y2") + F.col("pad")).alias("low"), F.explode("cols").alias("px"))
-    met = col.join(p, ["capture_id", "px"])
+    col = d.select(*keys, *paper, "y1", "y2", "reach", F.greatest(F.lit(0), F.col("y1") - F.col("pad")).alias("top"), F.least(F.col("height") - 1, F.col("y2") + F.col("pad")).alias("low"), F.explode("cols").alias("px"))
+    met = at(col, "px")
     up = (F.col("py") < F.col("y1")) & (F.col("py") >= F.col("top"))
     down = (F.col("py") > F.col("y2")) & (F.col("py") <= F.col("low"))
     runs = met.groupBy(*keys, "px", "y1", "y2", "reach", "top", "low").agg(F.max(F.when(up & ~F.col("picture"), F.col("py"))).alias("stop_up"), F.min(F.when(down & ~F.col("picture"), F.col("py"))).alias("stop_down"))
@@ -47,8 +52,8 @@ def overlay_evidence(pairs: DataFrame, pixels: DataFrame, page: DataFrame, off:
     share = lambda run: F.count_if(run >= F.col("reach")) / F.count("*")
     vertical = runs.groupBy(*keys).agg(share(above).alias("above"), share(below).alias("below"))
     rows, columns = F.greatest(F.lit(1), F.floor((th + 1) / 5)), F.greatest(F.lit(1), F.floor((tw + 1) / 15))
-    under = d.select(*keys, F.explode(F.sequence("y1", "y2", rows)).alias("py"), F.sequence("x1", "x2", columns).alias("xs")).select(*keys, "py", F.explode("xs").alias("px"))
-    inside = under.join(p, ["capture_id", "px", "py"]).groupBy(*keys).agg((F.count_if("picture") / F.count("*")).alias("coherence"))
+    under = d.select(*keys, *paper, F.explode(F.sequence("y1", "y2", rows)).alias("py"), F.sequence("x1", "x2", columns).alias("xs")).select(*keys, *paper, "py", F.explode("xs").alias("px"))
+    inside = at(under, "px", "py").groupBy(*keys).agg((F.count_if("picture") / F.count("*")).alias("coherence"))
     return vertical.join(inside, keys)
 
 
@@ -253,8 +258,8 @@ def grown_regions(seeds: DataFrame, texts: DataFrame, pixels: DataFrame, step: f
     image = pixels.groupBy("capture_id").agg(F.first("width").alias("width"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("py", "px", "r", "g", "b"))), lambda p: F.array(p["r"], p["g"], p["b"]))).alias("image"))
     r = g.rect()
     t = texts.groupBy("capture_id").agg(F.flatten(F.collect_list(F.array(r.x, r.y, r.x2, r.y2))).alias("texts"))
-    d = seeds.join(image, "capture_id").join(bg, "capture_id").join(t, "capture_id", "left")
-    d = d.select("capture_id", "cand_id", *(F.col(k).cast("double").alias(k) for k in "xywh"), "width", F.col("image").cast("array<long>").alias("image"), "bg", F.coalesce("texts", F.array().cast("array<double>")).alias("texts"))
+    d = seeds.join(image.hint("merge"), "capture_id").join(bg, "capture_id").join(t, "capture_id", "left")  # an image is larger than Spark estimates: never broadcast
+    d = d.select("capture_id", "cand_id", *(F.col(k).cast("double").alias(k) for k in "xywh"), "width", F.col("image").cast("array<short>").alias("image"), "bg", F.coalesce("texts", F.array().cast("array<double>")).alias("texts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
