@@ -79,7 +79,7 @@ def line_words(spark, d):
 
 
 MERGED_SQL = """, i AS (SELECT capture_id, round(y,9) AS low, round(y+h,9) AS high FROM tb), m1 AS (SELECT *, max(high) OVER (PARTITION BY capture_id ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
-m2 AS (SELECT *, sum(CASE WHEN reach IS NULL OR low>reach THEN 1 ELSE 0 END) OVER (PARTITION BY capture_id ORDER BY low, high ROWS UNBOUNDED PRECEDING) AS part FROM m1),
+m2 AS (SELECT *, sum(CASE WHEN reach IS NULL OR low>reach THEN 1 ELSE 0 END) OVER (PARTITION BY capture_id ORDER BY low, high) AS part FROM m1),
 m AS (SELECT capture_id, min(low) AS low, max(high) AS high FROM m2 GROUP BY capture_id, part) """
 
 
