@@ -26,11 +26,12 @@ def reading_order(blocks: DataFrame, band_tolerance: float = 0.5, least_gap: flo
     # the widest gap of each band, seen once; all in one pass over a page's rows
     widest = F.row_number().over(Window.partitionBy("capture_id", "band").orderBy(F.desc_nulls_last("gap"), "x", F.desc("centre")))
     b = b.withColumn("centre", F.when((widest == 1) & (F.col("gap") > least_gap), F.col("centre")))
-    middle = F.avg(F.col("centre").cast("decimal(12,9)")).over(w).cast("double")
+    middle = F.round(F.sum(F.col("centre").cast("decimal(18,9)")).over(w).cast("double") / F.count("centre").over(w), 9)
     b = b.withColumns({"bands": F.count("centre").over(w), "boundary": middle, "low": F.min("centre").over(w), "high": F.max("centre").over(w)})
     columns = (F.col("bands") >= 2) & (F.round(F.greatest(F.col("high") - F.col("boundary"), F.col("boundary") - F.col("low")), 9) < spread)
     b = b.withColumn("boundary", F.when(columns, F.col("boundary")))
-    part = F.when(F.col("boundary").isNull(), F.lit(0)).when((F.col("x") < F.col("boundary")) & (F.col("x") + F.col("w") > F.col("boundary")), 0).when(F.col("x") + F.col("w") / 2 < F.col("boundary"), 1).otherwise(2)
+    at = lambda v: F.round(v, 9)  # noqa: E731  a block that ends at the boundary does not cross it
+    part = F.when(F.col("boundary").isNull(), F.lit(0)).when((at(F.col("x")) < F.col("boundary")) & (at(F.col("x") + F.col("w")) > F.col("boundary")), 0).when(at(F.col("x") + F.col("w") / 2) < F.col("boundary"), 1).otherwise(2)
     plain = F.col("boundary").isNull()
     order = w.orderBy(part, F.when(plain, F.col("band")), F.when(plain, F.col("x")), F.when(~plain, -F.col("mid")), "block_id")
     b = b.withColumns({"reading_pos": (F.row_number().over(order) - 1).cast("long"), "section": part})
